@@ -24,10 +24,13 @@ def intersect_bitmaps(bitmaps: DataFrame, operands: int) -> DataFrame:
 
 
 def to_ids(bitmaps: DataFrame) -> DataFrame:
-    """Set bits as doc_id rows; only bytes that hold a bit are expanded."""
-    byte = F.conv(F.substring(F.hex("bits"), F.col("at") * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    rows = bitmaps.select("*", F.explode(F.sequence(F.lit(0), F.length("bits") - 1)).alias("at")).withColumn("byte", byte)
-    rows = rows.where("byte <> 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit"))
+    """Set bits as doc_id rows. Words of eight bytes without a bit are dropped before anything is exploded."""
+    words = F.expr("filter(sequence(0, cast(length(bits) / 8 as int) - 1), w -> substring(bits, w * 8 + 1, 8) <> X'0000000000000000')")
+    rows = bitmaps.select("*", F.explode(words).alias("word"))
+    rows = rows.select("*", F.expr("substring(bits, word * 8 + 1, 8)").alias("eight")).drop("bits")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
+    rows = rows.select("*", F.expr("cast(conv(hex(substring(eight, i + 1, 1)), 16, 10) as int)").alias("byte")).where("byte <> 0")
+    rows = rows.select("*", F.expr("word * 8 + i").alias("at"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit"))
     rows = rows.where(F.expr("(shiftright(byte, bit) & 1) = 1"))
     ident = F.expr("(bucket - 1) * 32768 + at * 8 + bit + 1")
     rest = [c for c in bitmaps.columns if c not in ("bucket", "bits")]
