@@ -214,7 +214,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
     least = members.groupBy("root").agg(F.min("rep").alias("least"))
     # A component's members in fingerprints, then all fingerprints with their component.
     of = members.select("fp", "root").join(least, "root").select("fp", "least")
-    ids = reps.join(of, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    # Written, so that the last join's sides are plain shuffles and a common fingerprint's rows can be split.
+    ids = written(reps.join(of, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")))
     return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
