@@ -53,9 +53,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = _signature(state)
     while before[0]:
         both = state.union(state.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # Minima are written: the join's sides are then plain shuffles, and a hub's rows can be split.
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = written(large)
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         state = written(small.union(least).distinct())
         now = _signature(state)

@@ -84,7 +84,7 @@ def _exploded(state: DataFrame, step: int) -> DataFrame:
     return state.mapInArrow(run, f"{DOC}, line int, a long, b long")
 
 
-def _gathered(rows: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+def _gathered(rows: DataFrame) -> DataFrame:
     """(doc, lines, ranks) of the lines that still have a rank: a document's own lines only."""
     both = F.sort_array(F.collect_list(F.struct("line", "rank")))
     rows = rows.groupBy("doc_id", "doc_key").agg(both.alias("x"))
@@ -143,7 +143,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         runs = runs.unionAll(p)
     runs = written(runs)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_key", "start")
-    first = runs.groupBy("length", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written: the join's sides are then plain shuffles, and a common run's rows can be split.
+    first = written(runs.groupBy("length", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = runs.join(first, ["length", "a", "b"]).where(place != F.col("first"))
     cover = later.groupBy("doc_id", "doc_key").agg(F.collect_set(F.struct("start", "length")).alias("runs"))
     at = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1))))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import written
+
 LIMIT, MARGIN, STRENGTHS = 0.5, 1.28, (1.0, 1000.0)
 # Suffixes of two labels under which domains are registered.
 LONG_SUFFIXES = ("ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.tr", "gov.uk", "ne.jp", "org.uk")
@@ -55,30 +57,29 @@ def _strength() -> Column:
     return F.least(F.greatest(kappa, F.lit(STRENGTHS[0])), F.lit(STRENGTHS[1]))
 
 
-def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, float, float]:
     """(host, domain, suffix, n, bad) sums of labelled pages by host to posterior parameters.
 
-    Returns hosts (host, a, b), domains (domain, mean), suffixes (suffix, mean), whole (mean, strength).
-    Sums by level are made from the sums by host.
+    Returns hosts (host, a, b), domains (domain, m2), suffixes (suffix, m1), and the numbers m0 and k2: the
+    overall rate and the strength of a host's prior. Sums by level are made from the sums by host; four
+    numbers go to the driver.
     """
-    hosts = outcomes.groupBy("host", "domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    hosts = written(outcomes.groupBy("host", "domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    strengths = [rows.agg(_strength().alias(f"k{i}")) for i, rows in enumerate((suffixes, domains, hosts))]
-    whole = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("m0"))
-    for k in strengths:  # single rows
-        whole = whole.join(F.broadcast(k))
-    whole = F.broadcast(whole)
+    suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    k0, k1, k2 = (rows.agg(_strength()).first()[0] for rows in (suffixes, domains, hosts))
+    n, bad = hosts.agg(F.sum("n"), F.sum("bad")).first()
+    m0 = ((bad or 0) + 1) / ((n or 0) + 2)
 
-    def shrunk(rows: DataFrame, prior: str, strength: str) -> DataFrame:
-        a = F.col(strength) * F.col(prior) + F.col("bad")
-        return rows.withColumn("a", a).withColumn("b", F.col(strength) * (1 - F.col(prior)) + F.col("n") - F.col("bad"))
+    def shrunk(rows: DataFrame, prior: Column, strength: float) -> DataFrame:
+        b = strength * (1 - prior) + F.col("n") - F.col("bad")
+        return rows.withColumn("a", strength * prior + F.col("bad")).withColumn("b", b)
 
     mean = F.col("a") / (F.col("a") + F.col("b"))
-    suffixes = shrunk(suffixes.join(whole), "m0", "k0").select("suffix", mean.alias("m1"))
-    domains = shrunk(domains.join(suffixes, "suffix").join(whole), "m1", "k1").select("domain", "suffix", mean.alias("m2"))
-    hosts = shrunk(hosts.join(domains.drop("suffix"), "domain").join(whole), "m2", "k2").select("host", "a", "b")
-    return hosts, domains.select("domain", "m2"), suffixes, whole
+    suffixes = shrunk(suffixes, F.lit(m0), k0).select("suffix", mean.alias("m1"))
+    domains = shrunk(domains.join(suffixes, "suffix"), F.col("m1"), k1).select("domain", mean.alias("m2"))
+    hosts = shrunk(hosts.join(domains, "domain"), F.col("m2"), k2).select("host", "a", "b")
+    return hosts, domains, suffixes, m0, k2
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT, margin: float = MARGIN) -> DataFrame:
@@ -95,18 +96,17 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIM
     rows = rows.withColumn("domain", domain).withColumn("suffix", suffix)
     labels = outcomes.select(F.col("page_id").cast("long").alias("page_id"), "bad").where("bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
     labelled = rows.join(labels, "page_id").select("host", "domain", "suffix", F.lit(1).alias("n"), F.col("bad").cast("long").alias("bad"))
-    hosts, domains, suffixes, whole = reputation(labelled)
+    hosts, domains, suffixes, m0, k2 = reputation(labelled)
     # Verdicts by host first: as many rows as there are hosts.
     all_hosts = rows.select("host", "domain", "suffix").distinct()
-    known = all_hosts.join(hosts, "host", "left").join(domains, "domain", "left").join(suffixes, "suffix", "left").join(whole)
-    mean = F.coalesce("m2", "m1", "m0")
-    a, b = F.coalesce("a", F.col("k2") * mean), F.coalesce("b", F.col("k2") * (1 - mean))
-    known = known.select("host", a.alias("a"), b.alias("b"))
+    known = all_hosts.join(hosts, "host", "left").join(domains, "domain", "left").join(suffixes, "suffix", "left")
+    mean = F.coalesce("m2", "m1", F.lit(m0))
+    known = known.select("host", F.coalesce("a", k2 * mean).alias("a"), F.coalesce("b", k2 * (1 - mean)).alias("b"))
     s = F.col("a") + F.col("b")
     bound = F.col("a") / s - margin * F.sqrt(F.col("a") * F.col("b") / (s * s * (s + 1)))
     known = known.select("host", F.when(bound > limit, "block").otherwise("allow").alias("says"))
     found, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return rows.join(known, "host").select("page_id", "host", "path", found.alias("rule"), F.coalesce(verdict, F.col("says")).alias("verdict"))
+    return rows.join(written(known), "host").select("page_id", "host", "path", found.alias("rule"), F.coalesce(verdict, F.col("says")).alias("verdict"))
 
 
 def judge_sql(rules=RULES, limit: float = LIMIT, margin: float = MARGIN) -> str:
