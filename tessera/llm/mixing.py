@@ -50,6 +50,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return rows.select("source", "source_size", F.least("cap", level * F.col("weight")).alias("target"))
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """A sum of all columns that can be hashed (maps can't)."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
+
+
 def plan(docs: DataFrame, seed: int = 0, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
     """One row a document: doc_id, row_key, size, source_size, target, epochs, before, rest.
 
@@ -57,7 +62,7 @@ def plan(docs: DataFrame, seed: int = 0, weight: Column | None = None, weights:
     have gone to documents with smaller keys. row_key sums up all columns. Null texts have size 0; null
     doc_ids and repeated rows take part like others; a source without words has target 0.
     """
-    row_key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    row_key = _row_key(docs)
     uniform = (F.pmod(F.xxhash64(F.lit(seed), row_key), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -107,6 +112,6 @@ def mix(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
     copies = F.col("epochs") + F.when(2 * (F.col("rest") - F.col("before")) >= F.greatest(F.col("size"), F.lit(1)), 1).otherwise(0)
     rows = plan(docs, seed, **how).groupBy("row_key").agg(F.sum(copies).cast("int").alias("copies")).where("copies > 0")
     names = docs.columns
-    keyed = docs.select(F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("__key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
+    keyed = docs.select(_row_key(docs).alias("__key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
     joined = keyed.join(rows.withColumnRenamed("row_key", "__key"), "__key").dropDuplicates(["__key"])
     return joined.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")

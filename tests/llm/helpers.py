@@ -1,0 +1,35 @@
+"""Inputs with every oddity that the operators define, and a random corpus."""
+
+import random
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, shard string, size string, key string, line string, a string, rank string"
+
+
+def odd_docs(spark):
+    """Nulls in every column, empty and long texts, repeated rows, columns with names the operators use inside."""
+    long = " ".join(f"word{i % 977}" for i in range(200_000))
+    rows = [
+        (1, "The quick brown fox jumps", "en", "s1"),
+        (1, "The quick brown fox jumps", "en", "s1"),
+        (2, None, "en", "s1"),
+        (3, "", "en", None),
+        (4, " \n\t ", None, "s2"),
+        (None, "no id here at all", "en", "s2"),
+        (5, "a", "en", None),
+        (6, long, "en", "s1"),
+        (7, "12345 !!! ---", "fr", "s3"),
+        (8, "The quick brown fox jumps", None, "s2"),
+        (9, "été à la plage avec nous", "fr", "s3"),
+        (10, "\n".join(["same line again and again"] * 40), "en", "s3"),
+    ]
+    return spark.createDataFrame([(i, t, g, s, None, "x", None, "y", "k", "l", None, "r") for i, t, g, s in rows], DOCS)
+
+
+def no_docs(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def corpus(seed, n, vocabulary=400, low=5, high=60):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 8))) for _ in range(vocabulary)]
+    return rng, [[rng.choice(words) for _ in range(rng.randint(low, high))] for _ in range(n)]
