@@ -291,8 +291,11 @@ def spans(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, start int, end int, lang string")
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The documents in a learned language by at least half of their letters; columns are those of `docs`."""
+def keep_identified(docs: DataFrame, model: Model, least: float = 1 / 3) -> DataFrame:
+    """The documents with a language that has at least a third of their letters; columns are those of `docs`.
+
+    Texts that mix languages stay; those without a letter, or without a leading language, go.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)

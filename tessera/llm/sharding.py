@@ -20,12 +20,6 @@ def cost(key: Column, shard: Column | int, weight: Column | float = 1.0) -> Colu
     return -F.log(uniform) / weight
 
 
-def winner(key: Column, weights: Sequence[float]) -> Column:
-    """The shard with the least cost; the smaller of two equals."""
-    costs = [F.struct(cost(key, i, float(w)).alias("c"), F.lit(i).alias("i")) for i, w in enumerate(weights)]
-    return F.array_min(F.array(*costs))["i"]
-
-
 def assign(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, grown_weight: float = 1.0) -> DataFrame:
     """One row a document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 

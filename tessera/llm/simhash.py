@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import components, written
 
-RADIUS, BLOCKS, SHARD_ROWS, SHINGLE, SEED = 4, 6, 4096, 4, 42
+RADIUS, SHARD_ROWS, SHINGLE, SEED = 4, 4096, 4, 42
+EXPECTED = 64  # fingerprints that a shard is to hold at most if they were random
 SPACE = b" \t\n\v\f\r"
 PIECE = 1 << 20  # bytes of a text whose words are held at once
 BYTE_BITS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)])
@@ -144,7 +145,15 @@ def _forest(tree_fps: list[int], query_fps: list[int], radius: int) -> list[tupl
     return [(fps[i], fps[r]) for i, r in enumerate(label.tolist()) if i != r]
 
 
-def block_keys(fp: Column, radius: int = RADIUS, blocks: int = BLOCKS) -> Column:
+def blocks_for(n: int, radius: int = RADIUS) -> int:
+    """Number of blocks for n fingerprints: more blocks mean more but finer shards. Links are the same with any."""
+    blocks = radius + 2
+    while n >> (64 // blocks) * (blocks - radius) > EXPECTED and blocks < 3 * radius:
+        blocks += 1
+    return blocks
+
+
+def block_keys(fp: Column, radius: int, blocks: int) -> Column:
     """The shards of a fingerprint: one for each choice of `blocks - radius` blocks."""
     bounds = [64 * i // blocks for i in range(blocks + 1)]
     parts = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << b - a) - 1).cast("long")) for a, b in zip(bounds, bounds[1:])]
@@ -185,8 +194,9 @@ def _links(rows: DataFrame, radius: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def linked(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def linked(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(node, root) of distinct fingerprints (fp) that have a partner within the radius."""
+    blocks = blocks or blocks_for(fps.count(), radius)
     keyed = fps.select("fp", F.explode(block_keys(F.col("fp"), radius, blocks)).alias("k"))
     # One number for a shard: a shard is at worst larger than it need be if two share it.
     keyed = keyed.select("fp", F.xxhash64("k.choice", "k.bits").alias("shard"))
@@ -200,7 +210,7 @@ def linked(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard_row
     return components(_links(dealt, radius))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shingle: int = SHINGLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int | None = None, shingle: int = SHINGLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row a document: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable).
 
     Null and wordless texts have fingerprint zero and are linked like any other. A null doc_id counts as

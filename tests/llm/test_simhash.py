@@ -50,8 +50,12 @@ def test_bk_tree(n):
     assert all({tree.fps[i] for i in tree.search_one(q, 4)} == {a for a in fps if (a ^ q).bit_count() <= 4} for q in fps[:20])
 
 
-@pytest.mark.parametrize("shard_rows", [3, 4096])
-def test_components_against_brute_force(spark, shard_rows):
+def test_blocks_follow_the_count():
+    assert [S.blocks_for(n) for n in (0, 10**6, 10**8, 10**10, 10**12)] == [6, 6, 7, 8, 9]
+
+
+@pytest.mark.parametrize("shard_rows,blocks", [(3, None), (4096, None), (4096, 8)])
+def test_components_against_brute_force(spark, shard_rows, blocks):
     rng = random.Random(5)
     fps = set()
     for _ in range(60):
@@ -62,7 +66,7 @@ def test_components_against_brute_force(spark, shard_rows):
                 fp ^= 1 << rng.randrange(64)
     fps = sorted(f - 2**64 if f >> 63 else f for f in fps)
     want = groups([(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4], fps)
-    got = S.linked(spark.createDataFrame([(f,) for f in fps], "fp long"), shard_rows=shard_rows).collect()
+    got = S.linked(spark.createDataFrame([(f,) for f in fps], "fp long"), shard_rows=shard_rows, blocks=blocks).collect()
     found = {f: f for f in fps} | {r.node: r.root for r in got}
     assert found == want
 
