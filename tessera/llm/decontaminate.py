@@ -79,14 +79,12 @@ class Cgk:
         """(rows, tables) LSH keys of rows of word hashes, n words each."""
         padded = np.hstack([rows, np.zeros((len(rows), 1), np.uint64)])  # past its end a walk stays at a blank
         walk = np.empty((len(rows), self.walks, self.steps), bool)
-        who = np.arange(len(rows))
-        top = np.uint64(63)
-        for r in range(self.walks):
-            at = np.zeros(len(rows), np.int64)
-            for j in range(self.steps):
-                symbol = padded[who, np.minimum(at, self.n)]
-                walk[:, r, j] = (symbol * self.colors[r]) >> top
-                at += ((symbol * self.flips[r, j]) >> top).astype(np.int64)  # the symbol's own random bit moves the walk on
+        who, top = np.arange(len(rows))[:, None], np.uint64(63)
+        at = np.zeros((len(rows), self.walks), np.int64)
+        for j in range(self.steps):
+            symbol = padded[who, np.minimum(at, self.n)]
+            walk[:, :, j] = (symbol * self.colors) >> top
+            at += ((symbol * self.flips[:, j]) >> top).astype(np.int64)  # the symbol's own random bit moves a walk on
         return walk[:, self.walk_of[:, None], self.at] @ self.weights
 
 
