@@ -162,3 +162,19 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.array_contains("__gone", i), F.lit(False)))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return rows.withColumn("text", text).select(*docs.columns)
+
+
+def repeated_lines_sql(min_words: int = MIN_WORDS) -> str:
+    """The same for DuckDB, over documents with distinct ids: runs are compared as text; lines as a list in a string."""
+    return rf"""WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS number
+    FROM (SELECT DISTINCT doc_id, text FROM documents)),
+  c AS (SELECT *, len(list_filter(string_split_regex(x, '[ 	-]+'), lambda w: w <> '')) AS n FROM x),
+  l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY number) AS i,
+    CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY number) AS BIGINT) AS upto FROM c WHERE n > 0),
+  p AS (SELECT a.doc_id, a.i AS a, b.i AS b FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + {min_words}
+    WHERE b.upto - a.upto + a.n >= {min_words}),
+  r AS (SELECT doc_id, a, min(b) AS b FROM p GROUP BY doc_id, a UNION SELECT doc_id, max(a) AS a, b FROM p GROUP BY doc_id, b),
+  k AS (SELECT r.doc_id, r.a, r.b, string_agg(x, chr(10) ORDER BY i) AS run FROM r JOIN l ON r.doc_id = l.doc_id AND l.i BETWEEN r.a AND r.b GROUP BY ALL),
+  o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, a) AS place FROM k),
+  g AS (SELECT DISTINCT l.doc_id, number FROM o JOIN l ON o.doc_id = l.doc_id AND l.i BETWEEN o.a AND o.b WHERE place > 1)
+SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, string_agg(CAST(number AS VARCHAR), ',' ORDER BY number) AS lines FROM g GROUP BY doc_id"""

@@ -31,7 +31,8 @@ def op4_exact_top_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return lines.repeated_lines(table(spark, d, "documents")).select("doc_id", "lines")
+    gone = lines.repeated_lines(table(spark, d, "documents"))
+    return gone.select("doc_id", F.size("lines").alias("n_lines"), F.array_join("lines", ",").alias("lines"))
 
 
 def op6_chat_perspectives(spark: SparkSession, d: str) -> DataFrame:
@@ -79,6 +80,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_license_scan": licenses.scan_sql(),
         "op4_exact_top_k": TOP_K_SQL,
+        "op5_line_dedup": lines.repeated_lines_sql(),
         "op6_chat_perspectives": chat.rotate_sql(),
         "op8_url_filter": urls.judge_sql(),
     }
