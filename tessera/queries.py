@@ -14,7 +14,8 @@ from tessera.operators import postings as index_ops
 from tessera.operators import versioned as kv
 from tessera.plans.search import search
 
-PASS_THROUGH = "lang IN ('fr', 'de', 'es')"
+#: An index language without stop words or stemming, which SQL can check over all documents.
+PLAIN = "fr"
 SEARCHES = {
     "search_term": "de",
     "search_and": "de AND la",
@@ -43,7 +44,7 @@ SEARCH_SQL = {
 }
 TOKENS = r"regexp_extract_all(text, '[\p{L}\p{N}]+')"
 P = f"""WITH p AS (SELECT doc_id, unnest(list_distinct(list_transform({TOKENS}, lambda w: lower(w)))) AS term
-  FROM documents WHERE {PASS_THROUGH}), d AS (SELECT DISTINCT doc_id FROM documents WHERE {PASS_THROUGH}) """
+  FROM documents), d AS (SELECT DISTINCT doc_id FROM documents) """
 EN_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS["en"])
 
 
@@ -51,13 +52,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _docs(spark: SparkSession, d: str, where: str = PASS_THROUGH) -> DataFrame:
-    return table(spark, d, "documents").where(where).select("doc_id", "text")
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text")
 
 
-def _search(query: str, backend: str = "predicate", where: str = PASS_THROUGH, lang: str = "fr"):
+def _search(query: str, backend: str = "predicate", lang: str = PLAIN):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        docs = _docs(spark, d, where)
+        docs = _docs(spark, d)
         if lang == "en":  # stop words without stemming, which SQL can check
             rows = docs.select("doc_id", F.explode(text.surface_terms(F.col("text"), "en")).alias("term")).distinct()
         else:
@@ -101,12 +102,12 @@ def _compact_latest(spark: SparkSession, d: str) -> DataFrame:
 
 def _compact_union(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    parts = [index_ops.postings(docs.where(F.col("doc_id") % 4 == i), "fr") for i in range(4)]
+    parts = [index_ops.postings(docs.where(F.col("doc_id") % 4 == i), PLAIN) for i in range(4)]
     return kv.merge_union(*parts)
 
 
 def _bitmap_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    return to_ids(union_bitmaps(to_bitmaps(index_ops.postings(_docs(spark, d), "fr")), "term"))
+    return to_ids(union_bitmaps(to_bitmaps(index_ops.postings(_docs(spark, d), PLAIN)), "term"))
 
 
 def _part_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -156,26 +157,26 @@ def _stemmed_sql(lang: str) -> str:
 
 
 def _stem_vocab(spark: SparkSession, d: str) -> DataFrame:
-    words = _docs(spark, d, "lang = 'en'").select(F.explode(text.surface_terms(F.col("text"), "en")).alias("word")).distinct()
+    words = _docs(spark, d).select(F.explode(text.surface_terms(F.col("text"), "en")).alias("word")).distinct()
     return words.select("word", stem_udf("en")("word").alias("term"))
 
 
 def _postings_of(f: Callable[[DataFrame], DataFrame]):
-    return lambda spark, d: f(index_ops.postings(_docs(spark, d), "fr"))
+    return lambda spark, d: f(index_ops.postings(_docs(spark, d), PLAIN))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: _search(q) for name, q in SEARCHES.items()}
     out |= {
-        "search_stopword": _search("the", where="lang = 'en'", lang="en"),
-        "search_not_stopword": _search("NOT the", where="lang = 'en'", lang="en"),
+        "search_stopword": _search("the", lang="en"),
+        "search_not_stopword": _search("NOT the", lang="en"),
         "search_set_backend": _search(SEARCHES["search_nested"], "sets"),
         "search_bitmap_backend": _search(SEARCHES["search_nested"], "bitmaps"),
         "search_stemmed_en": _search_stemmed("en"),
         "search_stemmed_ru": _search_stemmed("ru"),
         "stem_vocab": _stem_vocab,
         "tokenize_docs": lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(text.tokenize(F.col("text"))).alias("pos", "token")),
-        "normalize_terms": lambda s, d: _docs(s, d, "lang = 'en'").select("doc_id", F.explode(text.surface_terms(F.col("text"), "en")).alias("term")),
+        "normalize_terms": lambda s, d: _docs(s, d).select("doc_id", F.explode(text.surface_terms(F.col("text"), "en")).alias("term")),
         "postings": _postings_of(lambda p: p),
         "doc_freq": _postings_of(index_ops.doc_freq),
         "universe": lambda s, d: index_ops.universe(table(s, d, "documents")),
@@ -200,15 +201,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     out = {name: f"{P}SELECT doc_id FROM d WHERE {where}" for name, where in SEARCH_SQL.items()}
     out["search_set_backend"] = out["search_bitmap_backend"] = out["search_nested"]
-    english = "FROM documents WHERE lang = 'en'"
     part = "SELECT 'part-' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS key, p_name AS value FROM part"
     out |= {
-        "search_stopword": f"SELECT doc_id {english} AND false",
-        "search_not_stopword": f"SELECT DISTINCT doc_id {english}",
+        "search_stopword": "SELECT doc_id FROM documents WHERE false",
+        "search_not_stopword": "SELECT DISTINCT doc_id FROM documents",
         "search_stemmed_en": _stemmed_sql("en"),
         "search_stemmed_ru": _stemmed_sql("ru"),
         "tokenize_docs": f"SELECT doc_id, CAST(pos - 1 AS INTEGER) AS pos, token FROM (SELECT doc_id, unnest({TOKENS}) AS token, generate_subscripts({TOKENS}, 1) AS pos FROM documents)",
-        "normalize_terms": f"SELECT doc_id, term FROM (SELECT doc_id, unnest(list_distinct(list_transform({TOKENS}, lambda w: lower(w)))) AS term {english}) WHERE term NOT IN ({EN_STOP})",
+        "normalize_terms": f"SELECT doc_id, term FROM (SELECT doc_id, unnest(list_distinct(list_transform({TOKENS}, lambda w: lower(w)))) AS term FROM documents) WHERE term NOT IN ({EN_STOP})",
         "postings": f"{P}SELECT DISTINCT term, doc_id FROM p",
         "doc_freq": f"{P}SELECT term, count(DISTINCT doc_id) AS df FROM p GROUP BY term",
         "universe": "SELECT DISTINCT doc_id FROM documents",
