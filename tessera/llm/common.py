@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_keys(df: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit sums of all columns: a key of 128 bits. Maps, which have no hash, count as their text.
+
+    The hash passes over nulls, so the second sum also takes which columns are null.
+    """
+    cols = [F.col(f"`{c}`").cast("string") if "map<" in kind else F.to_json(f"`{c}`") if kind == "variant" else F.col(f"`{c}`") for c, kind in df.dtypes]
+    return F.xxhash64(*cols), F.xxhash64(*map(F.isnull, cols), *cols)
+
+
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 

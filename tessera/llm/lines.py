@@ -156,9 +156,10 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without later copies of repeated runs; columns are those of `docs`, texts are shorter."""
-    gone = repeated_lines(docs, min_words).select("doc_key", F.col("lines").alias("__gone")).withColumnRenamed("doc_key", "__key")
+    gone = repeated_lines(docs, min_words).select(F.col("doc_key").alias("__key"), F.col("doc_id").alias("__id"), F.col("lines").alias("__gone"))
     rows = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    rows = rows.join(gone, "__key", "left")
+    same = (rows["__key"] == gone["__key"]) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
+    rows = rows.join(gone, same, "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.array_contains("__gone", i), F.lit(False)))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return rows.withColumn("text", text).select(*docs.columns)
@@ -168,7 +169,8 @@ def repeated_lines_sql(min_words: int = MIN_WORDS) -> str:
     """The same for DuckDB, over documents with distinct ids: runs are compared as text; lines as a list in a string."""
     return rf"""WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS number
     FROM (SELECT DISTINCT doc_id, text FROM documents)),
-  c AS (SELECT *, len(list_filter(string_split_regex(x, '[ 	-]+'), lambda w: w <> '')) AS n FROM x),
+  c AS (SELECT *, len(list_filter(string_split_regex(x, '[ 	-
+]+'), lambda w: w <> '')) AS n FROM x),
   l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY number) AS i,
     CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY number) AS BIGINT) AS upto FROM c WHERE n > 0),
   p AS (SELECT a.doc_id, a.i AS a, b.i AS b FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + {min_words}

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import row_keys, written
 
 WEIGHTS, MOST_EPOCHS = (5, 2, 1), 3
 BUCKET_ROWS = 8192  # rows of a source's key bucket, about
@@ -50,25 +50,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return rows.select("source", "source_size", F.least("cap", level * F.col("weight")).alias("target"))
 
 
-def _row_key(docs: DataFrame) -> Column:
-    """A sum of all columns that can be hashed (maps can't)."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
-
-
 def plan(docs: DataFrame, seed: int = 0, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
-    """One row a document: doc_id, row_key, size, source_size, target, epochs, before, rest.
+    """One row a document: doc_id, row_key, row_key2, size, source_size, target, epochs, before, rest.
 
     `epochs` is how often the document is taken whole; of the rest of the budget, `rest` words, `before`
-    have gone to documents with smaller keys. row_key sums up all columns. Null texts have size 0; null
+    have gone to documents with smaller keys. row_key and row_key2 sum up all columns. Null texts have size 0; null
     doc_ids and repeated rows take part like others; a source without words has target 0.
     """
-    row_key = _row_key(docs)
+    row_key, row_key2 = row_keys(docs)
     uniform = (F.pmod(F.xxhash64(F.lit(seed), row_key), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "source",
         n_words(F.col("text")).alias("size"),
         row_key.alias("row_key"),
+        row_key2.alias("row_key2"),
         (-F.log(uniform) / (quality(F.col("text")) if weight is None else weight)).alias("key"),
     )
     slim = written(slim)
@@ -84,10 +80,10 @@ def plan(docs: DataFrame, seed: int = 0, weight: Column | None = None, weights:
         F.col("b.source").alias("of_source"), F.col("bucket").alias("of_bucket"), "offset", "source_size", "target"
     )
     rows = slim.join(offsets, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("bucket") == F.col("of_bucket")))
-    within = Window.partitionBy("source", "bucket").orderBy("key", "row_key").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("key", "row_key", "row_key2").rowsBetween(Window.unboundedPreceding, -1)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     return rows.select(
-        "doc_id", "row_key", "size", "source_size", "target", epochs.alias("epochs"),
+        "doc_id", "row_key", "row_key2", "size", "source_size", "target", epochs.alias("epochs"),
         (F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0))).alias("before"),
         (F.round("target").cast("long") - epochs * F.col("source_size")).alias("rest"),
     )
@@ -110,8 +106,8 @@ def mix(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
     The document that the budget ends in is in if at least half of it fits. Repeated rows share their copies.
     """
     copies = F.col("epochs") + F.when(2 * (F.col("rest") - F.col("before")) >= F.greatest(F.col("size"), F.lit(1)), 1).otherwise(0)
-    rows = plan(docs, seed, **how).groupBy("row_key").agg(F.sum(copies).cast("int").alias("copies")).where("copies > 0")
-    names = docs.columns
-    keyed = docs.select(_row_key(docs).alias("__key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
-    joined = keyed.join(rows.withColumnRenamed("row_key", "__key"), "__key").dropDuplicates(["__key"])
+    rows = plan(docs, seed, **how).groupBy("row_key", "row_key2").agg(F.sum(copies).cast("int").alias("copies")).where("copies > 0")
+    keys = ["row_key", "row_key2"]
+    keyed = docs.select(*[k.alias(n) for k, n in zip(row_keys(docs), keys)], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    joined = keyed.join(rows, keys).dropDuplicates(keys)
     return joined.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")

@@ -11,7 +11,7 @@ never meet as pairs. A task reports a spanning forest of the links it found, nev
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, written
+from tessera.llm.common import components, row_keys, written
 
 RADIUS, SHARD_ROWS, SHINGLE, SEED = 4, 4096, 4, 42
 EXPECTED = 64  # fingerprints that a shard is to hold at most if they were random
@@ -64,17 +64,19 @@ def _ones(hashes: list[int]) -> np.ndarray:
     return np.concatenate([np.bincount(columns[:, i], minlength=256) @ BYTE_BITS for i in range(8)])
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of whole documents; fp is the fingerprint as a signed long."""
+def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, keys: Sequence[Column] = ()) -> DataFrame:
+    """(doc_id, fp) of whole documents, then key0, key1, ... (longs); fp is the fingerprint as a signed long."""
+    names = [f"key{i}" for i in range(len(keys))]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            columns = [batch.column("doc_id"), pa.array(fps.view(np.int64)), *map(batch.column, names)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", *names])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[k.alias(n) for k, n in zip(keys, names)])
+    return slim.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *names)))
 
 
 class BKTree:
@@ -229,11 +231,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int | None =
     return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The documents without near-duplicates: of each component the row with the least doc_id stays, once.
+def keep_one(docs: DataFrame, radius: int = RADIUS, blocks: int | None = None, shingle: int = SHINGLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The documents without near-duplicates: one row of each component stays; the columns are those of `docs`.
 
-    Rows without doc_id can't be named as anyone's copy and stay. The columns are those of `docs`.
+    It is the one with the least doc_id (null last); between rows with one doc_id a sum of all columns
+    decides, so that reruns agree. Rows equal in every column are one row.
     """
-    kept = near_duplicates(docs, **how).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    rows = written(with_fingerprints(docs, shingle, row_keys(docs)))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key0", "key1")
+    # The first row of each fingerprint, then of each component: minima are partly taken before a shuffle.
+    firsts = written(rows.groupBy("fp").agg(F.min(place).alias("first")))
+    groups = linked(firsts.select("fp"), radius, blocks, shard_rows).toDF("fp", "root")
+    kept = firsts.join(groups, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    names, (a, b) = docs.columns, row_keys(docs)
+    keyed = docs.withColumns({"__key0": a, "__key1": b})
+    met = keyed.join(kept.select(F.col("first.key0").alias("__key0"), F.col("first.key1").alias("__key1")), ["__key0", "__key1"], "left_semi")
+    return met.dropDuplicates(["__key0", "__key1"]).select(*[F.col(f"`{c}`") for c in names])

@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import simhash as S
-from tessera.llm.common import components
+from tessera.llm.common import components, row_keys
 from tests.llm.helpers import corpus, no_docs, odd_docs
 
 
@@ -93,6 +93,23 @@ def test_odd_and_empty(spark):
     assert S.near_duplicates(no_docs(spark)).count() == 0 and S.keep_one(no_docs(spark)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"x{i}" for i in range(60))
+    rows = [(1, words, "en", None), (1, other, "en", None), (2, words, "en", None), (None, other, "fr", "s"), (None, "y z", None, "t"), (None, "y z", "t", None), (3, "q", "en", "s"), (3, "q", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = [tuple(r) for r in S.keep_one(docs.repartition(4)).collect()]
+    assert sorted(r[:2] for r in kept if r[0] is not None) == sorted([(1, words), (1, other), (3, "q")])
+    assert [r[1] for r in kept if r[0] is None] == ["y z"]
+    assert {tuple(r) for r in S.keep_one(docs.coalesce(1)).collect()} == set(kept)
+
+
+def test_row_keys_tell_rows_apart(spark):
+    rows = [("a", None, {"x": 1}), (None, "a", {"x": 1}), ("a", None, {"x": 2}), ("a", None, None), (None, None, None), ("a", None, {"x": 1})]
+    docs = spark.createDataFrame(rows, "a string, b string, m map<string,int>")
+    assert docs.select(*[k.alias(n) for k, n in zip(row_keys(docs), "kl")]).distinct().count() == 5
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = docs.collect()
