@@ -3,18 +3,23 @@
 Every document gets an exponential key divided by its quality weight; within a source, documents in
 key order fill the source's word budget. Whole epochs come first: each document is taken as often as
 the source fits into its target, and only the rest is a selection. The prefix sums are two-level:
-sums of key buckets, then running sums within a bucket, so that no task holds a source.
+sums of key buckets, then running sums within a bucket, so that no task holds a source. Buckets are
+even steps of the key's logarithm: a weight only shifts that, and its density is 1 / e at most, so
+that no bucket is large whatever the weights are.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import row_keys, written
 
 WEIGHTS, MOST_EPOCHS = (5, 2, 1), 3
-BUCKET_ROWS = 8192  # rows of a source's key bucket, about
+LEAST_WEIGHT, MOST_WEIGHT = 1e-6, 1e6  # of a document's draw
+BUCKET_ROWS = 8192  # rows of a source's key bucket at most, about
 WORDS = r"[^\x20\x09-\x0D]+"
 # Characters that count against a text's quality.
 NOISE = "!\"#$%&'()*+-/0123456789<=>?@[\\]^_`{|}~"
@@ -55,23 +60,26 @@ def plan(docs: DataFrame, seed: int = 0, weight: Column | None = None, weights:
 
     `epochs` is how often the document is taken whole; of the rest of the budget, `rest` words, `before`
     have gone to documents with smaller keys. row_key and row_key2 sum up all columns. Null texts have size 0; null
-    doc_ids and repeated rows take part like others; a source without words has target 0.
+    doc_ids and repeated rows take part like others; a source without words has target 0. Weights of
+    documents are clipped to 1e-6 and 1e6; a null counts as the least, a NaN as the most.
     """
     row_key, row_key2 = row_keys(docs)
     uniform = (F.pmod(F.xxhash64(F.lit(seed), row_key), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    draw = F.coalesce((quality(F.col("text")) if weight is None else weight).cast("double"), F.lit(LEAST_WEIGHT))
+    draw = F.least(F.greatest(draw, F.lit(LEAST_WEIGHT)), F.lit(MOST_WEIGHT))
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "source",
         n_words(F.col("text")).alias("size"),
         row_key.alias("row_key"),
         row_key2.alias("row_key2"),
-        (-F.log(uniform) / (quality(F.col("text")) if weight is None else weight)).alias("key"),
+        (-F.log(uniform) / draw).alias("key"),
     )
     slim = written(slim)
     by_source = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    n = max(64, -(-slim.count() // BUCKET_ROWS))
-    # A monotone map of the key to [0, 1) that is even for weight 1.
-    slim = slim.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * n).cast("int"))
+    # Buckets to one unit of the logarithm.
+    n = max(32, math.ceil(slim.count() / (math.e * BUCKET_ROWS)))
+    slim = slim.withColumn("bucket", F.floor(F.log("key") * n))
     sums = slim.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("offset", F.coalesce(F.sum("words").over(earlier), F.lit(0)))

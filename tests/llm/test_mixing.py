@@ -1,3 +1,4 @@
+import math
 import re
 from collections import defaultdict
 
@@ -78,3 +79,20 @@ def test_mix_repeats_whole_rows(spark):
     assert mixed.columns == docs.columns
     rows = {tuple(r) for r in docs.collect()}
     assert all(tuple(r) in rows for r in mixed.collect())
+
+
+def test_odd_weights_lose_nothing(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, "a") for i in range(120)], "doc_id long, text string, source string")
+    odd = F.expr("CASE doc_id % 6 WHEN 0 THEN null WHEN 1 THEN 0 WHEN 2 THEN -1 WHEN 3 THEN double('NaN') WHEN 4 THEN double('inf') ELSE 1 END")
+    rows = M.plan(docs, weight=odd).collect()
+    assert sorted(r.before for r in rows) == [10 * i for i in range(120)]
+    order = [r.doc_id % 6 for r in sorted(rows, key=lambda r: r.before)]
+    assert set(order[:40]) == {3, 4} and set(order[40:60]) == {5}
+
+
+def test_buckets_stay_small_whatever_the_weights(spark):
+    docs = spark.range(200_000).selectExpr("id AS doc_id", "if(id % 2 = 0, '', 'plain words') AS text", "'a' AS source")
+    n = max(32, math.ceil(200_000 / (math.e * M.BUCKET_ROWS)))
+    key = -F.log((F.pmod(F.xxhash64(F.lit(0), M.row_keys(docs)[0]), F.lit(1 << 52)) + 0.5) / float(1 << 52)) / M.quality(F.col("text"))
+    most = docs.groupBy(F.floor(F.log(key) * n)).count().agg(F.max("count")).first()[0]
+    assert most < 200_000 / (math.e * n) * 1.2
