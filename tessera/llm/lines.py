@@ -169,8 +169,7 @@ def repeated_lines_sql(min_words: int = MIN_WORDS) -> str:
     """The same for DuckDB, over documents with distinct ids: runs are compared as text; lines as a list in a string."""
     return rf"""WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS number
     FROM (SELECT DISTINCT doc_id, text FROM documents)),
-  c AS (SELECT *, len(list_filter(string_split_regex(x, '[ 	-
-]+'), lambda w: w <> '')) AS n FROM x),
+  c AS (SELECT *, len(list_filter(string_split_regex(x, '[ \x09-\x0D]+'), lambda w: w <> '')) AS n FROM x),
   l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY number) AS i,
     CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY number) AS BIGINT) AS upto FROM c WHERE n > 0),
   p AS (SELECT a.doc_id, a.i AS a, b.i AS b FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + {min_words}
