@@ -29,7 +29,7 @@ PIECE = 1 << 20  # bytes of a text whose words are held at once
 BYTE_BITS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)])
 
 
-def _pieces(text: bytes) -> Iterator[list[bytes]]:
+def pieces(text: bytes) -> Iterator[list[bytes]]:
     """Words of a text, a bounded piece at a time."""
     at = 0
     while len(text) - at > PIECE:
@@ -42,7 +42,7 @@ def _pieces(text: bytes) -> Iterator[list[bytes]]:
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """SimHash of a UTF-8 text: a bit is 1 if set in over half of the shingles' XXH64 sums; 0 without words."""
     ones, n, carried = np.zeros(64, np.int64), 0, []
-    for piece in _pieces((text or b"").lower()):
+    for piece in pieces((text or b"").lower()):
         words = carried + piece
         if len(words) >= shingle:
             joined = b" ".join(words)
