@@ -2,7 +2,9 @@
 
 Each word's script narrows the languages it can be in; a smoothed model of hashed character trigrams
 scores it under those; the best label sequence under a penalty for each switch (Viterbi) cuts the
-text into spans. A document's language is the one with most letters, its score that share.
+text into spans. A document's language is the one with most letters, its score that share; letters in
+scripts that no language has are part of the whole but of no share. A share says nothing about texts
+in a language that wasn't learned: `keep_identified` also asks how well the trigrams fit.
 
 The model is fitted on at most `rows_per_lang` (in expectation) labelled rows of each of at most
 `max_langs` languages, picked by a hash of the id, and has `max_langs` x 32,768 numbers at most: that
@@ -39,6 +41,7 @@ SCRIPTS = list(dict.fromkeys(s for _, s in SCRIPT_RANGES))
 
 BUCKETS = 1 << 15
 ROWS_PER_LANG, MAX_LANGS, PENALTY, SCRIPT_SHARE = 2000, 64, 8.0, 0.005
+SPREADS = 2.0  # a text's mean trigram score may lie so many standard deviations of single trigrams under the language's mean, short texts' more
 IMPOSSIBLE = -60.0
 WORD = re.compile(r"[^\W\d_]+")
 PIECE = 1 << 20  # characters of a text labelled at once; a span doesn't cross from one piece to the next
@@ -50,6 +53,7 @@ class Model:
     langs: tuple[str, ...]
     logp: np.ndarray  # (BUCKETS, languages)
     scripts: np.ndarray  # (scripts, languages): whether the language is written in it
+    limits: np.ndarray  # (2, languages): least mean trigram score of a long text in the language; what it falls by for one of one trigram
 
 
 def script(word: str) -> int:
@@ -92,7 +96,7 @@ def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, max_langs: int = MA
     sizes = learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
     langs = tuple(r.lang for r in sizes)
     if not langs:
-        return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool))
+        return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool), np.zeros((2, 0)))
     span = 1 << 20
     limits = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(span, -(-span * rows_per_lang // r.n)))])
     sample = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < limits[F.col("lang")]).select("lang", F.col("text").cast("string").alias("text"))
@@ -115,7 +119,12 @@ def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, max_langs: int = MA
     counts[total["k"], total["lang"].map(langs.index)] = total["n"]
     seen = counts[:BUCKETS] + smoothing
     shares = counts[BUCKETS:] / np.maximum(1, counts[BUCKETS:].sum(0))
-    return Model(langs, np.log(seen / seen.sum(0)).astype(np.float32), shares >= SCRIPT_SHARE)
+    # What the labelled rows' trigrams score, each left out of the counts that score it.
+    n = np.maximum(1, counts[:BUCKETS].sum(0))
+    left_out = np.log(np.maximum(seen - 1, smoothing) / seen.sum(0))
+    mean = (counts[:BUCKETS] * left_out).sum(0) / n
+    spread = np.sqrt((counts[:BUCKETS] * (left_out - mean) ** 2).sum(0) / n)
+    return Model(langs, np.log(seen / seen.sum(0)).astype(np.float32), shares >= SCRIPT_SHARE, np.stack([mean - SPREADS * spread, 2 * SPREADS * spread]))
 
 
 class Scorer:
@@ -125,6 +134,9 @@ class Scorer:
         self.model, self.ids, self.buckets = model, {}, {}
         self.scores = np.zeros((0, len(model.langs)), np.float32)
         self.letters = np.zeros(0, np.int64)
+        self.raw = np.zeros((0, len(model.langs)), np.float32)  # sums of trigram scores as they are
+        self.grams = np.zeros(0, np.int64)
+        self.known = np.zeros(0, bool)  # whether a language has the word's script
 
     def __call__(self, words: list[str]) -> np.ndarray:
         """Positions of the words in `scores` and `letters`."""
@@ -154,6 +166,9 @@ class Scorer:
         scores = np.add.reduceat(self.model.logp[flat], starts, axis=0)
         letters = np.array([len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in words], np.int64)
         fits = self.model.scripts[[script(w) for w in words]]
+        self.raw = np.concatenate([self.raw, scores])
+        self.grams = np.concatenate([self.grams, np.diff([*starts, len(flat)])])
+        self.known = np.concatenate([self.known, fits.any(1)])
         scores += np.where(fits | ~fits.any(1, keepdims=True), 0, IMPOSSIBLE)
         # A script that no language has, or no letter at all, says nothing.
         scores[~fits.any(1) | (letters == 0)] = 0
@@ -203,10 +218,11 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = PENALTY) -
     return labels[place]
 
 
-def _votes(texts: list[str | None], scorer: Scorer, penalty: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each text the letters by language, and the sum of word scores by language."""
+def _votes(texts: list[str | None], scorer: Scorer, penalty: float) -> tuple[np.ndarray, ...]:
+    """For each text the letters by language, the sum of word scores by language, all letters, and by language the sum and number of its own words' trigram scores."""
     k = len(scorer.model.langs)
-    votes, sums = np.zeros((len(texts), k)), np.zeros((len(texts), k))
+    votes, sums, all_letters = np.zeros((len(texts), k)), np.zeros((len(texts), k)), np.zeros(len(texts))
+    raw, grams = np.zeros((len(texts), k)), np.zeros((len(texts), k))
     held: list[str] = []
     lengths: list[tuple[int, int]] = []
 
@@ -216,7 +232,11 @@ def _votes(texts: list[str | None], scorer: Scorer, penalty: float) -> tuple[np.
             doc = np.repeat([i for i, _ in lengths], [n for _, n in lengths])
             scores, letters = scorer.scores[ids], scorer.letters[ids]
             labels = viterbi(scores, np.array([n for _, n in lengths]), penalty)
-            np.add.at(votes, (doc, labels), letters)
+            cell = doc * k + labels
+            known = scorer.known[ids] & (letters > 0)
+            all_letters[:] += np.bincount(doc, letters, len(texts))
+            for to, x in ((votes, letters), (raw, scorer.raw[ids, labels]), (grams, scorer.grams[ids])):
+                to += np.bincount(cell, x * known, votes.size).reshape(votes.shape)
             for j in range(k):
                 sums[:, j] += np.bincount(doc, scores[:, j], len(texts))
         held.clear()
@@ -230,20 +250,22 @@ def _votes(texts: list[str | None], scorer: Scorer, penalty: float) -> tuple[np.
             if len(held) > 300_000:
                 close()
     close()
-    return votes, sums
+    return votes, sums, all_letters, raw, grams
 
 
-def _judged(texts: pa.Array, scorer: Scorer, penalty: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each text the position of its language (-1: none) and that language's share of the letters."""
-    picks, shares = np.full(len(texts), -1), np.zeros(len(texts))
+def _judged(texts: pa.Array, scorer: Scorer, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text the position of its language (-1: none), that language's share of the letters, and whether its words fit the language."""
+    picks, shares, fits = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), bool)
     for i in range(0, len(texts) if scorer.model.langs else 0, 512):
-        votes, sums = _votes(texts.slice(i, 512).to_pylist(), scorer, penalty)
+        votes, sums, letters, raw, grams = _votes(texts.slice(i, 512).to_pylist(), scorer, penalty)
         first = -np.arange(votes.shape[1]) * np.ones_like(votes)
         top = np.lexsort((first, sums, votes), axis=1)[:, -1]
-        some = votes.sum(1) > 0
-        picks[i : i + len(votes)] = np.where(some, top, -1)
-        shares[i : i + len(votes)] = np.where(some, votes.max(1) / np.maximum(votes.sum(1), 1), 0)
-    return picks, shares
+        own, (limit, slack) = (np.arange(len(top)), top), scorer.model.limits
+        part = slice(i, i + len(votes))
+        picks[part] = np.where(letters > 0, top, -1)
+        shares[part] = votes[own] / np.maximum(letters, 1)
+        fits[part] = (grams[own] > 0) & (raw[own] >= limit[top] * grams[own] - slack[top] * np.sqrt(grams[own]))
+    return picks, shares, fits
 
 
 def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
@@ -259,7 +281,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFra
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            picks, shares = _judged(batch.column("text"), scorer, penalty)
+            picks, shares, _ = _judged(batch.column("text"), scorer, penalty)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs[picks], pa.string()), pa.array(shares, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -294,13 +316,14 @@ def spans(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
 def keep_identified(docs: DataFrame, model: Model, least: float = 1 / 3) -> DataFrame:
     """The documents with a language that has at least a third of their letters; columns are those of `docs`.
 
-    Texts that mix languages stay; those without a letter, or without a leading language, go.
+    Texts that mix languages stay; those without a letter, without a leading language, or whose words in
+    that language score below its limit (texts in a language that wasn't learned), go.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            picks, shares = _judged(batch.column("text"), scorer, PENALTY)
-            yield batch.filter(pa.array((picks >= 0) & (shares >= least)))
+            picks, shares, fits = _judged(batch.column("text"), scorer, PENALTY)
+            yield batch.filter(pa.array((picks >= 0) & (shares >= least) & fits))
 
     return docs.mapInArrow(run, docs.schema)

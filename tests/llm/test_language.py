@@ -87,3 +87,23 @@ def test_pieces_cover_long_texts(monkeypatch):
 def test_held_out_column(spark):
     rows = spark.range(50).select(F.col("id").alias("doc_id")).withColumn("l", L.is_learned(F.col("doc_id"))).collect()
     assert all(r.l == (zlib.crc32(str(r.doc_id).encode()) % 3 != 1) for r in rows)
+
+
+FOREIGN = [
+    "这是一篇完全用中文写的文章，没有任何模型学过的语言", "Это русский текст без единой латинской буквы", "Ez egy magyar szöveg, amelyet a modell soha nem látott és nem tanult meg",
+    "Tämä on suomenkielinen teksti, jota malli ei ole koskaan nähnyt eikä oppinut", "Zażółć gęślą jaźń i wszystkie inne polskie litery w tym zdaniu",
+    "Questo testo italiano non è mai stato visto dal modello e dovrebbe essere respinto",
+]
+
+
+def test_unlearned_languages_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = L.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    strange = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(FOREIGN)], "doc_id long, text string")
+    assert L.keep_identified(strange, model).count() == 0
+    score = {r.doc_id: r.score for r in L.identify(strange, model).collect()}
+    assert score[-1] == score[-2] == 0
+    kept = {r.doc_id for r in L.keep_identified(docs, model).collect()}
+    assert len(kept) >= 0.999 * docs.count()
+    mixed = docs.where("length(text) > 200").limit(1).select("doc_id", F.concat(F.substring("text", 1, 200), F.lit(" 这是中文" * 20)).alias("text"))
+    assert L.keep_identified(mixed, model).count() == 1 and L.identify(mixed, model).first().score < 0.75
