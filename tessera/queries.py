@@ -150,6 +150,26 @@ def _search_stemmed(lang: str):
     return run
 
 
+#: Searches of whole tables under a stemmed index; SQL has no such stemmer, tests hold them against plain Python.
+TABLE_QUERIES = {
+    "en": ["licensed", "licensing AND NOT works", "(rights OR foxes) AND NOT reserving", "NOT licenses", "the"],
+    "ru": ["license", "de AND NOT лисы", "быстрая OR la", "NOT быстрый", "и"],
+}
+
+
+def _search_stemmed_table(lang: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        docs = _docs(spark, d)
+        rows = index_ops.postings(docs, lang)
+        out = None
+        for q in TABLE_QUERIES[lang]:
+            found = search(rows, docs, q, lang).select(F.lit(q).alias("query"), "doc_id")
+            out = found if out is None else out.union(found)
+        return out
+
+    return run
+
+
 def _stemmed_sql(lang: str) -> str:
     # Golden values: SQL has no such stemmer.
     rows = ", ".join(f"('{q}', {i})" for q, ids in STEM_QUERIES[lang].items() for i in ids)
@@ -174,6 +194,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_bitmap_backend": _search(SEARCHES["search_nested"], "bitmaps"),
         "search_stemmed_en": _search_stemmed("en"),
         "search_stemmed_ru": _search_stemmed("ru"),
+        "search_stemmed_table_en": _search_stemmed_table("en"),
+        "search_stemmed_table_ru": _search_stemmed_table("ru"),
         "stem_vocab": _stem_vocab,
         "tokenize_docs": lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(text.tokenize(F.col("text"))).alias("pos", "token")),
         "normalize_terms": lambda s, d: _docs(s, d).select("doc_id", F.explode(text.surface_terms(F.col("text"), "en")).alias("term")),
