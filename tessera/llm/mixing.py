@@ -2,10 +2,14 @@
 
 Every document gets an exponential key divided by its quality weight; within a source, documents in
 key order fill the source's word budget. Whole epochs come first: each document is taken as often as
-the source fits into its target, and only the rest is a selection. The prefix sums are two-level:
-sums of key buckets, then running sums within a bucket, so that no task holds a source. Buckets are
-even steps of the key's logarithm: a weight only shifts that, and its density is 1 / e at most, so
-that no bucket is large whatever the weights are.
+the source fits into its target, and only the rest is a selection.
+
+In key order a selection is all that lies before one cut. So the prefix sums are two-level: sums of key
+buckets by source find the bucket that a budget ends in, and only the rows of that bucket are sorted to
+find the document. What is taken of a document then follows from its own key and its source's cut:
+texts are never shuffled. Buckets are even steps of the key's logarithm: a weight only shifts that, and
+its density is 1 / e at most, so that no bucket is large whatever the weights are. Rows equal in every
+column share a key; they count as one group.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from tessera.llm.common import row_keys, written
 WEIGHTS, MOST_EPOCHS = (5, 2, 1), 3
 LEAST_WEIGHT, MOST_WEIGHT = 1e-6, 1e6  # of a document's draw
 BUCKET_ROWS = 8192  # rows of a source's key bucket at most, about
+COPIES_AT_ONCE = 4096  # equal rows that a task makes at once
 WORDS = r"[^\x20\x09-\x0D]+"
 # Characters that count against a text's quality.
 NOISE = "!\"#$%&'()*+-/0123456789<=>?@[\\]^_`{|}~"
@@ -55,67 +60,106 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return rows.select("source", "source_size", F.least("cap", level * F.col("weight")).alias("target"))
 
 
-def plan(docs: DataFrame, seed: int = 0, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
-    """One row a document: doc_id, row_key, row_key2, size, source_size, target, epochs, before, rest.
+def drawn(docs: DataFrame, seed: int = 0, weight: Column | None = None, *more: Column) -> DataFrame:
+    """One row a document: doc_id, source, size, row_key, row_key2, key, all from the row itself; then `more`.
 
-    `epochs` is how often the document is taken whole; of the rest of the budget, `rest` words, `before`
-    have gone to documents with smaller keys. row_key and row_key2 sum up all columns. Null texts have size 0; null
-    doc_ids and repeated rows take part like others; a source without words has target 0. Weights of
-    documents are clipped to 1e-6 and 1e6; a null counts as the least, a NaN as the most.
+    row_key and row_key2 sum up all columns. Weights are clipped to 1e-6 and 1e6; a null counts as the
+    least, a NaN as the most.
     """
     row_key, row_key2 = row_keys(docs)
     uniform = (F.pmod(F.xxhash64(F.lit(seed), row_key), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     draw = F.coalesce((quality(F.col("text")) if weight is None else weight).cast("double"), F.lit(LEAST_WEIGHT))
     draw = F.least(F.greatest(draw, F.lit(LEAST_WEIGHT)), F.lit(MOST_WEIGHT))
-    slim = docs.select(
+    return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "source",
         n_words(F.col("text")).alias("size"),
         row_key.alias("row_key"),
         row_key2.alias("row_key2"),
         (-F.log(uniform) / draw).alias("key"),
+        *more,
     )
-    slim = written(slim)
-    by_source = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    # Buckets to one unit of the logarithm.
-    n = max(32, math.ceil(slim.count() / (math.e * BUCKET_ROWS)))
-    slim = slim.withColumn("bucket", F.floor(F.log("key") * n))
-    sums = slim.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("offset", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
-    b, t = sums.alias("b"), by_source.alias("t")
-    offsets = b.join(t, F.col("b.source").eqNullSafe(F.col("t.source"))).select(
-        F.col("b.source").alias("of_source"), F.col("bucket").alias("of_bucket"), "offset", "source_size", "target"
-    )
-    rows = slim.join(offsets, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("bucket") == F.col("of_bucket")))
-    within = Window.partitionBy("source", "bucket").orderBy("key", "row_key", "row_key2").rowsBetween(Window.unboundedPreceding, -1)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    return rows.select(
-        "doc_id", "row_key", "row_key2", "size", "source_size", "target", epochs.alias("epochs"),
-        (F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0))).alias("before"),
-        (F.round("target").cast("long") - epochs * F.col("source_size")).alias("rest"),
-    )
 
 
-def taken(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
+def cuts(docs: DataFrame, seed: int = 0, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+    """One row a source: its size, target, whole epochs, and where the rest of its budget ends in key order.
+
+    of, source_size, target, epochs, whole (whether the rest takes every document); cut: the key, row_key
+    and row_key2 of the document that the budget ends in, null where there is none; left: the words that
+    are left for it; cut_size: its own; copies: the rows equal to it, itself included; cut_doc: its doc_id.
+    A table as long as there are sources.
+    """
+    rows = drawn(docs, seed, weight)
+    # Buckets to one unit of the logarithm.
+    n = max(32, math.ceil(docs.count() / (math.e * BUCKET_ROWS)))
+    rows = rows.withColumn("bucket", F.floor(F.log("key") * n))
+    sums = written(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
+    by_source = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    by_source = by_source.withColumnRenamed("source", "of").withColumn("epochs", epochs)
+    by_source = by_source.withColumn("rest", F.round("target").cast("long") - F.col("epochs") * F.col("source_size"))
+    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = sums.withColumn("upto", F.sum("words").over(upto))
+    here = running.join(by_source.select("of", "rest"), F.col("source").eqNullSafe(F.col("of"))).where("rest > 0 AND upto > rest")
+    first = F.min_by(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"), "rest"), "bucket").alias("b")
+    here = here.groupBy("of").agg(first).select("of", F.col("b.bucket").alias("in_bucket"), F.col("b.before").alias("before"), F.col("b.rest").alias("rest"))
+    # Written: the few rows of these buckets are then found by a join whose side has a known size.
+    here = written(here.coalesce(1))
+    near = rows.join(here, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in_bucket")))
+    groups = near.groupBy("of", "key", "row_key", "row_key2", "doc_id", "size", "before", "rest").agg(F.count("*").alias("copies"))
+    order = Window.partitionBy("of").orderBy("key", "row_key", "row_key2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    groups = groups.withColumn("upto", F.col("before") + F.sum(F.col("size") * F.col("copies")).over(order)).where("upto > rest")
+    left = (F.col("rest") - F.col("upto") + F.col("size") * F.col("copies")).alias("left")
+    ends = F.min_by(F.struct(F.struct("key", "row_key", "row_key2").alias("cut"), left, F.col("size").alias("cut_size"), "copies", F.col("doc_id").alias("cut_doc")), F.struct("key", "row_key", "row_key2"))
+    ends = groups.groupBy("of").agg(ends.alias("e")).select(F.col("of").alias("ends_of"), "e.*")
+    out = by_source.join(ends, F.col("of").eqNullSafe(F.col("ends_of")), "left")
+    whole = F.col("cut").isNull() & (F.col("rest") > 0)
+    return written(out.select("of", "source_size", "target", "epochs", whole.alias("whole"), "cut", "left", "cut_size", "copies", "cut_doc").coalesce(1))
+
+
+def _numbered(rows: DataFrame, copies: str) -> DataFrame:
+    """Each row as often as its column `copies` says, numbered from 0 in `i`; large numbers go to many tasks."""
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1, F.lit(COPIES_AT_ONCE).cast("long")))
+    rows = rows.where(F.col(copies) > 0).withColumn("chunk", chunk).repartition("of", "chunk")
+    return rows.withColumn("i", F.explode(F.sequence("chunk", F.least(F.col("chunk") + COPIES_AT_ONCE, F.col(copies)) - 1)))
+
+
+def _placed(docs: DataFrame, cut: DataFrame, seed: int, weight: Column | None, *more: Column) -> DataFrame:
+    """Rows of `drawn` and `more` with their source's cut; `before`: whether they lie before it; `ends`: whether it is theirs."""
+    rows = drawn(docs, seed, weight, *more).join(cut, F.col("source").eqNullSafe(F.col("of")))
+    place = F.struct("key", "row_key", "row_key2")
+    return rows.withColumns({"before": F.col("whole") | F.coalesce(place < F.col("cut"), F.lit(False)), "ends": F.coalesce(place == F.col("cut"), F.lit(False))})
+
+
+def taken(docs: DataFrame, seed: int = 0, weight: Column | None = None, **how) -> DataFrame:
     """(doc_id, size, source_size, target, taken): the words that the mix takes of each document.
 
     The document that the budget ends in gives just the words that are left, so that a source's words
-    meet its target to the word.
+    meet its target to the word; of equal rows there, the first ones give all. Null texts have size 0; null
+    doc_ids and repeated rows take part like others; a source without words has target 0.
     """
-    some = F.least(F.greatest(F.col("rest") - F.col("before"), F.lit(0)), F.col("size"))
-    out = F.col("epochs") * F.col("size") + some
-    return plan(docs, seed, **how).select("doc_id", "size", "source_size", "target", out.cast("long").alias("taken"))
+    cut = cuts(docs, seed, weight, **how)
+    rows = _placed(docs, cut, seed, weight).where("NOT (ends AND copies > 1)")
+    some = F.when(F.col("before"), F.col("size")).when(F.col("ends"), F.col("left")).otherwise(0)
+    rows = rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + some).cast("long").alias("taken"))
+    some = F.least(F.greatest(F.col("left") - F.col("i") * F.col("cut_size"), F.lit(0)), F.col("cut_size"))
+    equal = _numbered(cut.where("copies > 1"), "copies").select(
+        F.col("cut_doc").alias("doc_id"), F.col("cut_size").alias("size"), "source_size", "target", (F.col("epochs") * F.col("cut_size") + some).cast("long").alias("taken")
+    )
+    return rows.unionAll(equal)
 
 
-def mix(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 0, weight: Column | None = None, **how) -> DataFrame:
     """The mix itself: whole documents, each as often as it is taken; the columns are those of `docs`.
 
-    The document that the budget ends in is in if at least half of it fits. Repeated rows share their copies.
+    The document that the budget ends in is in if at least half of it fits; of rows equal to it, as many
+    as fit so. Documents without words go by the place of their key. Other cases as in `taken`.
     """
-    copies = F.col("epochs") + F.when(2 * (F.col("rest") - F.col("before")) >= F.greatest(F.col("size"), F.lit(1)), 1).otherwise(0)
-    rows = plan(docs, seed, **how).groupBy("row_key", "row_key2").agg(F.sum(copies).cast("int").alias("copies")).where("copies > 0")
-    keys = ["row_key", "row_key2"]
-    keyed = docs.select(*[k.alias(n) for k, n in zip(row_keys(docs), keys)], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    joined = keyed.join(rows, keys).dropDuplicates(keys)
-    return joined.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")
+    cut = cuts(docs, seed, weight, **how)
+    rows = _placed(docs, cut, seed, weight, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    alone = F.col("before") | (F.col("ends") & (F.col("copies") == 1) & (2 * F.col("left") >= F.col("cut_size")))
+    often = F.col("epochs").cast("int") + F.when(alone, 1).otherwise(0)
+    out = rows.select("row", often.alias("often")).where("often > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("often")))).select("row.*")
+    fit = F.least(F.col("copies"), F.floor((2 * F.col("left") + F.col("cut_size")) / (2 * F.col("cut_size"))).cast("long"))
+    equal = rows.where("ends AND copies > 1").groupBy("of").agg(F.any_value("row").alias("row"), F.any_value(fit).alias("fit"))
+    return out.unionAll(_numbered(equal, "fit").select("row.*"))

@@ -1,7 +1,10 @@
 import math
 import re
-from collections import defaultdict
+import struct
+from collections import Counter, defaultdict
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing as M
@@ -25,6 +28,62 @@ def fill(sizes, weights=(5, 2, 1), most=3):
     return target
 
 
+def signed(h):
+    return h - 2**64 if h >> 63 else h
+
+
+def brute(docs):
+    """(doc_id, taken) and (doc_id, copies) of (doc_id, text, source), by sorting each source by its keys."""
+    rows = defaultdict(list)
+    for i, text, source in docs:
+        h = 42
+        for kind, v in (("q", i), ("s", text), ("s", source)):
+            if v is not None:
+                h = xxhash.xxh64_intdigest(v.encode() if kind == "s" else struct.pack("<q", v), h)
+        h = xxhash.xxh64_intdigest(struct.pack("<q", signed(h)), xxhash.xxh64_intdigest(struct.pack("<i", 0), 42))
+        good = max(0.05, sum(c not in M.NOISE for c in text or "") / max(1, len(text or "")) if text is not None else 0)
+        rows[source].append((-math.log((h % 2**52 + 0.5) / 2**52) / good, i, len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))))
+    total = {s: sum(n for *_, n in own) for s, own in rows.items()}
+    target, words, copies = fill(total), [], []
+    for s, own in rows.items():
+        epochs = int(target[s] // total[s]) if total[s] else 0
+        rest = round(target[s]) - epochs * total[s]
+        for _, i, n in sorted(own):
+            some = min(max(rest, 0), n)
+            words.append((i, epochs * n + some))
+            copies.append((i, epochs + (2 * rest >= n and rest > 0)))
+            rest -= n
+    return sorted(words), sorted(copies)
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_each_document_against_brute_force(spark, seed):
+    rng, texts = corpus(seed, 300, low=1, high=70)
+    docs = [(i, " ".join(t) + rng.choice(["", " 12 #!", " ;;; ;;; ;;;"]), rng.choices("abc", [8, 1, 3])[0]) for i, t in enumerate(texts)]
+    docs += [docs[7], (900, docs[9][1], "a"), (901, "one", None)] + [(902, "a few equal words", "b")] * 40
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5)
+    words, copies = brute(docs)
+    assert sorted((r.doc_id, r.taken) for r in M.taken(frame).collect()) == words
+    got = Counter(r.doc_id for r in M.mix(frame).collect())
+    want = Counter()
+    for i, n in copies:
+        want[i] += n
+    assert got == +want
+
+
+@pytest.mark.parametrize("n", [3, 10_000])
+def test_equal_rows_at_the_end_of_a_budget(spark, n):
+    """All rows of a source are equal: only some of them can be taken, and they are split to the word."""
+    docs = spark.createDataFrame([(1, "two words", "a")] * n + [(2, "and three words", "b")] * n + [(3, "x", "c")], "doc_id long, text string, source string")
+    rows = M.taken(docs).collect()
+    assert len(rows) == 2 * n + 1
+    for i, source in enumerate("ab", 1):
+        own = [r for r in rows if r.doc_id == i]
+        assert len(own) == n and sum(r.taken for r in own) == round(own[0].target) and max(r.taken for r in own) - min(r.taken for r in own) <= own[0].size
+        mixed = M.mix(docs).where(F.col("source") == source).count() * own[0].size
+        assert abs(mixed - own[0].target) <= own[0].size / 2 + 0.5
+
+
 def check(spark, docs):
     rows = M.taken(docs).collect()
     assert len(rows) == docs.count()
@@ -61,15 +120,15 @@ def test_odd_and_empty(spark):
 
 def test_whole_epochs_come_first_and_keys_follow_weights(spark):
     docs = spark.createDataFrame([(i, "w " * 10, "a" if i < 100 else "b") for i in range(400)], "doc_id long, text string, source string")
-    rows = M.plan(docs).collect()
-    assert {r.epochs for r in rows if r.doc_id < 100} == {2} and {r.epochs for r in rows if r.doc_id >= 100} == {0}
+    assert {r.of: r.epochs for r in M.cuts(docs).collect()} == {"a": 2, "b": 0}
+    assert {r.taken // 10 for r in M.taken(docs).collect() if r.doc_id < 100} == {2, 3}
     mixed = M.mix(docs)
     assert mixed.columns == docs.columns
     n = mixed.groupBy("source").count().collect()
     assert abs({r.source: r["count"] for r in n}["a"] - 250 - 50 / 7 * 5) < 80 and sum(r["count"] for r in n) == 400
     # Every other text is two thirds symbols: a plain one is drawn about three times as often among the first.
     noisy = F.expr("if(doc_id % 2 = 0, text, repeat('#9 ', 10))")
-    first = [r.doc_id for r in M.plan(docs.where("source = 'b'").withColumn("text", noisy)).collect() if r.before < 500]
+    first = [r.doc_id for r in M.drawn(docs.where("source = 'b'").withColumn("text", noisy)).orderBy("key").limit(50).collect()]
     assert 0.6 < sum(i % 2 == 0 for i in first) / len(first) < 0.9
 
 
@@ -84,9 +143,8 @@ def test_mix_repeats_whole_rows(spark):
 def test_odd_weights_lose_nothing(spark):
     docs = spark.createDataFrame([(i, "w " * 10, "a") for i in range(120)], "doc_id long, text string, source string")
     odd = F.expr("CASE doc_id % 6 WHEN 0 THEN null WHEN 1 THEN 0 WHEN 2 THEN -1 WHEN 3 THEN double('NaN') WHEN 4 THEN double('inf') ELSE 1 END")
-    rows = M.plan(docs, weight=odd).collect()
-    assert sorted(r.before for r in rows) == [10 * i for i in range(120)]
-    order = [r.doc_id % 6 for r in sorted(rows, key=lambda r: r.before)]
+    assert sorted((r.doc_id, r.taken) for r in M.taken(docs, weight=odd).collect()) == [(i, 10) for i in range(120)]
+    order = [r.doc_id % 6 for r in M.drawn(docs, 0, odd).orderBy("key").collect()]
     assert set(order[:40]) == {3, 4} and set(order[40:60]) == {5}
 
 
