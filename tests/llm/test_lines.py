@@ -7,17 +7,24 @@ from tests.llm.helpers import no_docs, odd_docs
 
 
 def brute(docs, least):
-    """Lines that lie in a run of enough words that also occurs before."""
+    """Lines in a run of enough words that also occurs before, but for the first copy of its shortest beginning."""
     seqs = [[(n, x) for n, x in enumerate((t or "").encode().split(b"\n")) if x.split()] for _, t in docs]
     gone = [set() for _ in docs]
     places = [(d, i) for d, s in enumerate(seqs) for i in range(len(s))]
-    for p, (d, i) in enumerate(places):
-        for e, j in places[p + 1 :]:
-            n = 0
-            while i + n < len(seqs[d]) and j + n < len(seqs[e]) and seqs[d][i + n][1] == seqs[e][j + n][1]:
-                n += 1
-            if n and sum(len(x.split()) for _, x in seqs[e][j : j + n]) >= least:
-                gone[e] |= {seqs[e][k][0] for k in range(j, j + n)}
+
+    def common(d, i, e, j):
+        n = 0
+        while i + n < len(seqs[d]) and j + n < len(seqs[e]) and seqs[d][i + n][1] == seqs[e][j + n][1]:
+            n += 1
+        return n
+
+    for p, (e, j) in enumerate(places):
+        width = next((n for n in range(1, len(seqs[e]) - j + 1) if sum(len(x.split()) for _, x in seqs[e][j : j + n]) >= least), None)
+        earlier = [(q, n) for q in places[:p] if width and (n := common(*q, e, j)) >= width]
+        if earlier:
+            (d, i), _ = earlier[0]
+            stays = i + width if d == e else 0
+            gone[e] |= {seqs[e][k][0] for k in range(j, j + max(n for _, n in earlier)) if k >= stays}
     return {docs[d][0]: sorted(g) for d, g in enumerate(gone) if g}
 
 
@@ -52,8 +59,41 @@ def test_texts_lose_later_copies(spark):
 def test_odd_and_empty(spark):
     docs = odd_docs(spark)
     got = {r.doc_id: len(r.lines) for r in L.repeated_lines(docs).collect()}
-    # The 40 equal lines: a run of ten lines or more recurs from the second line on, overlapping itself.
-    assert got == {10: 39}
+    # The 40 equal lines: a run of ten lines recurs from the second line on, overlapping itself; its first copy stays.
+    assert got == {10: 30}
     out = L.dedup_lines(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
     assert L.repeated_lines(no_docs(spark)).count() == 0 and L.dedup_lines(no_docs(spark)).count() == 0
+
+
+def test_overlapping_repeats_keep_a_whole_copy(spark):
+    one = "\n".join(["ten words that are in each and every equal line"] * 10)
+    two = "\n".join(f"line {i % 3} of three that come again and again" for i in range(20))
+    docs = [(1, one), (2, two), (3, "before\n" + one), (4, two + "\n" + two)]
+    got = {r.doc_id: list(r.lines) for r in L.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs, 50)
+    assert got[1] == [5, 6, 7, 8, 9] and got[3] == list(range(1, 11)) and got[4] == list(range(40))
+    assert 50 <= 9 * (20 - len(got[2])) < 100
+
+
+def test_walk_of_the_interval_tree():
+    rng = random.Random(4)
+    for _ in range(300):
+        some = sorted({tuple(rng.choices("ab", k=rng.randint(1, 6))) for _ in range(rng.randint(1, 20))})
+        place = rng.sample(range(100), len(some))
+        want = {p: max([L.common_prefix(a, b) for b, q in zip(some, place) if q < p], default=0) for a, p in zip(some, place)}
+        assert dict(L.longest_earlier((list(a), p, p) for a, p in zip(some, place))) == want
+
+
+def test_sql_twin_against_brute_force():
+    import duckdb
+
+    rng = random.Random(9)
+    pool = [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(5)]
+    for least in (4, 12):
+        docs = [(i, "\n".join(rng.choices(pool, k=rng.randint(1, 14)))) for i in range(25)]
+        con = duckdb.connect()
+        con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+        got = {i: [int(x) for x in lines.split(",")] for i, _, lines in con.execute(L.repeated_lines_sql(least)).fetchall()}
+        assert got == brute(docs, least)
