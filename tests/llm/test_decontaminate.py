@@ -85,5 +85,28 @@ def test_odd_and_empty(spark):
         assert D.contaminated(x, y).count() == 0 and D.keep_clean(x, y).count() == x.count()
 
 
-def test_recall_formula():
-    assert 1 - (1 - D.AGREE**D.BITS) ** D.tables() >= D.RECALL
+def test_lsh_alone_reaches_the_recall():
+    """Windows at every word, no runs looked up: passages at the very limit of edits, against brute force."""
+    rng, items = corpus(11, 80, vocabulary=3000, low=5, high=60)
+    bench = [(i, " ".join(x)) for i, x in enumerate(items)]
+    found = D.Items(bench, 0.8, D.RECALL, everywhere=True)
+    want, got = set(), set()
+    for i, item in enumerate(items):
+        hit = edit(rng, item, D.edits(len(item), 0.8))
+        text = " ".join([*rng.choice(items)[:4], *hit, *rng.choice(items)[-4:]])
+        want |= {(i, j) for _, j in brute([(i, text)], bench)}
+        got |= {(i, j) for j, _, _ in found.find(text)}
+    assert len(want) >= 75 and got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_unrelated_windows_rarely_collide():
+    rng = np.random.default_rng(5)
+    for n in (3, 8, 10, 20, 50):
+        items = D.Items([(0, " ".join(f"w{i}" for i in range(n)))], 0.8, D.RECALL)
+        windows = rng.integers(1, 2**63, (2000, n), dtype=np.uint64)
+        assert len(items.candidates(n, windows)) < 20, n
+        assert items.candidates(n, items.hash[np.array(items.coded)]) == {(0, 0)}
+
+
+def test_walks_grow_with_the_recall():
+    assert D.walks(50, 10, 0.9) <= D.walks(50, 10, 0.99) and D.walks(10, 0) == 16
