@@ -63,12 +63,13 @@ def op10_rendezvous_shards(spark: SparkSession, d: str) -> DataFrame:
 
 OPERATORS = (op1_language_id, op2_license_scan, op3_mix_sources, op4_exact_top_k, op5_line_dedup, op6_chat_perspectives, op7_decontaminate, op8_url_filter, op9_simhash_dedup, op10_rendezvous_shards)
 
-TOP_K_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-  e AS (SELECT vec_id, generate_subscripts(v, 1) AS i, unnest(v) AS x, len(v) AS n FROM v),
-  s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score FROM e q JOIN e c ON q.i = c.i AND q.n = c.n
-    WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id GROUP BY ALL),
-  r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+TOP_K_SQL = """WITH f AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  e AS (SELECT r, vec_id, generate_subscripts(v, 1) AS i, CAST(floor(64 * unnest(v)) AS BIGINT) AS x, len(v) AS n FROM f
+    WHERE len(list_filter(v, lambda x: abs(x) * 64 >= 2147483648.0 / sqrt(len(v)))) = 0),
+  s AS (SELECT q.r, q.vec_id AS query_id, c.r AS other, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score FROM e q JOIN e c ON q.i = c.i AND q.n = c.n
+    WHERE q.vec_id % 20 = 0 AND q.r <> c.r GROUP BY ALL),
+  r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
 

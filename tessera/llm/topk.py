@@ -2,183 +2,303 @@
 
 Inner products become distances by one more component: a candidate x gets sqrt(M^2 - |x|^2), M the
 largest norm, a query gets 0; then |q' - x'|^2 = |q|^2 + M^2 - 2 q.x, and the nearest are the highest
-scored. Candidates are dealt by hash into chunks of bounded size, each an M-tree: pages of entries with
-their distance to the page's parent, inner entries with a covering radius. A block of queries visits
-pages in the order of their best bound; stored distances rule pages and entries out by the triangle
-inequality before a distance is computed. Scores themselves are exact integers.
+scored. One computed distance is one inner product; scores themselves are exact integers.
 
-The queries are a stated set, met by every chunk in blocks: each (chunk, block of queries) is one task's
-work and returns k rows a query, of which the k best remain.
+The tree is paged over the cluster. Its root: pivots from a bounded sample, every row under its nearest
+one, with each pivot's covering radius. Below a pivot, rows lie in chunks of bounded size, each an M-tree
+that is built once and kept in a table: pages of entries with their distance to the page's pivot, inner
+entries with a covering radius and their distance to the parent's pivot. A pivot with many rows, equal
+ones too, has several chunks.
+
+A query first searches a chunk of its nearest pivot, which gives it a score to beat; then it goes only to
+the chunks of pivots whose covering radius leaves something to find. In a tree it takes pages in the order
+of their least possible distance; stored distances rule out pages and entries by the triangle
+inequality before anything is computed. The queries are a stated set; a task holds one chunk's tree and a
+block of the queries that go to it.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
+from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import written
 
 K, STEP, SCALE = 20, 20, 64
-CHUNK_ROWS, BLOCK_ROWS, LEAST_CHUNKS, PAGE = 8192, 16384, 12, 64
+CHUNK_ROWS, BLOCK_ROWS, MOST_PIVOTS, PAGE = 8192, 4096, 1024, 96
+BITS = 62  # of a score at most
 
 
 def whole_numbers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v): each component x as floor(scale * x); rows with a null or non-finite component are out.
+    """(vec_id, v): each component x as floor(scale * x). Every row stays a row of its own, also with a repeated vec_id.
 
-    Of several rows with one vec_id the least vector takes part; a null vec_id takes no part.
+    Out are rows with a null vec_id, a null or empty vector, a null or non-finite component, and those with
+    a component so large that a score might need more than 62 bits: beyond 2^31 / sqrt(length) after scaling.
     """
     x = F.col("embedding").cast("array<double>")
-    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    most = 2.0 ** (BITS // 2) / F.sqrt(F.size(x))
+    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) * scale < most))
     ints = F.transform(x, lambda c: F.floor(c * scale).cast("long"))
-    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(fine, F.lit(False)))
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), ints.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = vectors.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.coalesce(fine, F.lit(False)))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), ints.alias("v"))
+
+
+class Space:
+    """Distances of rows to rows, and of queries to rows, for vectors of whole numbers with squared norms up to `top`."""
+
+    def __init__(self, vectors: np.ndarray, top: int):
+        largest = max(1, int(np.abs(vectors).max(initial=0)))
+        self.exact = largest**2 * max(1, vectors.shape[1]) < 2**52  # then products of doubles are exact, and quicker
+        self.v = vectors.astype(np.float64 if self.exact else np.int64)
+        self.last = np.sqrt(np.maximum(float(top) - (vectors.astype(np.float64) ** 2).sum(1), 0))
+        self.top = float(top)
+
+    def distances(self, pivot: int, ids: np.ndarray) -> np.ndarray:
+        d = (self.v[ids] - self.v[pivot]).astype(np.float64)
+        return np.sqrt((d * d).sum(1) + (self.last[ids] - self.last[pivot]) ** 2)
 
 
 class MTree:
-    """Bulk-loaded: a page's entries are split among sampled pivots until pages are small enough."""
+    """Bulk-loaded: a page's entries are dealt to sampled pivots until pages are small enough."""
 
-    def __init__(self, points: np.ndarray, page: int = PAGE):
-        self.points = points
-        # A node: pivot (a point's position), covering radius, distance to parent, children or entries with their distances.
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, top: int, page: int = PAGE):
+        self.ids, self.rows, self.vectors, self.top, self.page = ids, rows, vectors, top, page
+        # A node: pivot, covering radius, distance to the parent's pivot; then children, or None, entries, their distances.
         self.nodes: list[tuple] = []
-        self.root = self._build(np.arange(len(points)), 0, 0.0, page) if len(points) else -1
+        space = Space(vectors, top)
+        self._build(space, np.arange(len(ids)), 0, 0.0)
+        self.inner = [None if n[3] is None else tuple(np.array([self.nodes[c][i] for c in n[3]]) for i in range(3)) for n in self.nodes]
 
-    def _distances(self, pivot: int, ids: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(((self.points[ids] - self.points[pivot]) ** 2).sum(1), 0))
-
-    def _build(self, ids: np.ndarray, pivot: int, to_parent: float, page: int) -> int:
-        d = self._distances(pivot, ids)
+    def _build(self, space: Space, ids: np.ndarray, pivot: int, to_parent: float) -> int:
+        d, page = space.distances(pivot, ids), self.page
         at = len(self.nodes)
         self.nodes.append(())
         if len(ids) <= page or d.max() == 0:  # equal points stay in one page
-            self.nodes[at] = (pivot, d.max(), to_parent, None, ids, d)
+            self.nodes[at] = (pivot, float(d.max(initial=0)), to_parent, None, ids, d)
             return at
-        pivots = ids[np.linspace(0, len(ids) - 1, min(page, -(-len(ids) // (page // 2)) + 1)).astype(int)]
-        pivots = pivots[np.unique(self.points[pivots], axis=0, return_index=True)[1]]
+        pivots = ids[np.linspace(0, len(ids) - 1, min(32, 2 * -(-len(ids) // page))).astype(int)]
+        pivots = pivots[np.unique(space.v[pivots], axis=0, return_index=True)[1]]
         if len(pivots) == 1:  # the sample was all equal
-            pivots = np.array([pivots[0], ids[self._distances(pivots[0], ids).argmax()]])
-        near = np.stack([self._distances(p, ids) for p in pivots]).argmin(0)
-        children = [self._build(ids[near == i], p, float(self._distances(pivot, np.array([p]))[0]), page) for i, p in enumerate(pivots) if (near == i).any()]
-        self.nodes[at] = (pivot, d.max(), to_parent, children, None, None)
+            pivots = np.array([pivots[0], ids[space.distances(pivots[0], ids).argmax()]])
+        near = np.stack([space.distances(p, ids) for p in pivots]).argmin(0)
+        children = [self._build(space, ids[near == i], p, float(space.distances(pivot, np.array([p]))[0])) for i, p in enumerate(pivots) if (near == i).any()]
+        self.nodes[at] = (pivot, float(d.max()), to_parent, children, None, None)
         return at
 
+    def packed(self) -> bytes:
+        small = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.abs(self.vectors).max(initial=0) <= np.iinfo(t).max)
+        self.vectors = self.vectors.astype(small)
+        return pickle.dumps(self)
 
-def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K, page: int = PAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of each query's k best by (score, smaller vec_id), itself left out.
+    def searcher(self) -> Searcher:
+        return Searcher(self)
 
-    ids are distinct; vectors and queries are whole numbers as int64, of one length.
-    """
-    order = np.argsort(ids)
-    ids, vectors = ids[order], vectors[order]
-    n, q = len(ids), len(query_ids)
-    if not n or not q:
-        return query_ids[:0], ids[:0], query_ids[:0]
-    largest = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, vectors.shape[1])
-    if largest * (2 * n) >= 2**62:  # scores and positions don't fit one number together
-        return _plain(ids, vectors, query_ids, queries, k)
-    exact = largest < 2**52  # then products of doubles are exact, and quicker
-    v, w = (vectors.astype(np.float64), queries.astype(np.float64)) if exact else (vectors, queries)
-    norms = (vectors.astype(np.float64) ** 2).sum(1)
-    top = norms.max()
-    points = np.hstack([vectors.astype(np.float64), np.sqrt(np.maximum(top - norms, 0))[:, None]])
-    asked = np.hstack([queries.astype(np.float64), np.zeros((q, 1))])
-    offset = ((asked**2).sum(1) + top) / 2  # score = offset - distance^2 / 2
-    tree = MTree(points, page)
-    own = np.searchsorted(ids, query_ids)
-    own[(own == n) | (ids[np.minimum(own, n - 1)] != query_ids)] = -1
-    # A score and a position as one number: higher is better, equal scores go to the smaller vec_id.
-    best = np.full((q, k), np.iinfo(np.int64).min, np.int64)
-    floor = np.full(q, -np.inf)  # the k-th score so far
-
-    def may_help(distance: np.ndarray, who: np.ndarray) -> np.ndarray:
-        """Whether something at this distance or further could enter; a little slack covers rounding."""
-        bound = offset[who] - np.maximum(distance, 0) ** 2 / 2
-        return bound + 1e-9 * (np.abs(offset[who]) + 1) + 1e-6 >= floor[who]
-
-    # Pages by their smallest bound over the block; each carries who may need it and their distance to its parent's pivot.
-    everyone = np.arange(q)
-    queue: list[tuple] = [(0.0, tree.root, everyone, None)]
-    while queue:
-        _, at, who, from_parent = heapq.heappop(queue)
-        pivot, radius, to_parent, children, entries, to_pivot = tree.nodes[at]
-        if from_parent is not None:
-            fits = may_help(np.abs(from_parent - to_parent) - radius, who)
-            who, from_parent = who[fits], from_parent[fits]
-        if not len(who):
-            continue
-        d = np.sqrt(np.maximum(2 * (offset[who] - asked[who] @ points[pivot]), 0))
-        fits = may_help(d - radius, who)
-        who, d = who[fits], d[fits]
-        if not len(who):
-            continue
-        if children is not None:
-            for c in children:
-                bound = np.abs(d - tree.nodes[c][2]) - tree.nodes[c][1]
-                fits = may_help(bound, who)
-                if fits.any():
-                    heapq.heappush(queue, (float(bound[fits].min()), c, who[fits], d[fits]))
-            continue
-        # Entries ruled out for every query by their stored distance need no product.
-        some = entries[may_help(np.abs(d[:, None] - to_pivot[None, :]).ravel(), np.repeat(who, len(entries))).reshape(len(who), -1).any(0)]
-        for piece in np.array_split(some, max(1, -(-len(some) // 512))):
-            if not len(piece):
+
+class Searcher:
+    """Best-first search in a tree, a query at a time; `computed` counts inner products."""
+
+    def __init__(self, tree: MTree):
+        self.tree, self.space, self.computed = tree, Space(tree.vectors.astype(np.int64), tree.top), 0
+        self.largest = int(np.abs(tree.vectors.astype(np.int64)).max(initial=0))
+
+    def _scores(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
+        self.computed += len(at)
+        return self.space.v[at] @ query
+
+    def __call__(self, query: np.ndarray, row: int, k: int = K, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(vec_id, score) of the k best by (score, smaller vec_id) that reach `floor`, the row itself left out."""
+        tree, space = self.tree, self.space
+        if space.exact and int(np.abs(query).max(initial=0)) * self.largest * len(query) >= 2**52:
+            space.v, space.exact = tree.vectors.astype(np.int64), False
+        q = query.astype(space.v.dtype)
+        offset = (float((query.astype(np.float64) ** 2).sum()) + space.top) / 2  # score = offset - distance^2 / 2
+        slack = 1e-9 * (abs(offset) + 1) + 1e-6  # rounding of distances
+        best_id, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def reach() -> float:
+            """Distance within which something can still enter."""
+            return np.inf if floor is None else float(np.sqrt(max(0.0, 2 * (offset - float(floor) + slack))))
+
+        within, order = reach(), count()
+        queue: list[tuple] = [(0.0, next(order), 0, float(self._to(self._scores(np.array([tree.nodes[0][0]]), q), offset)[0]))]
+        while queue:
+            bound, _, at, d = heapq.heappop(queue)
+            if bound > within:
+                break
+            _, _, _, children, entries, to_pivot = tree.nodes[at]
+            if children is not None:
+                pivots, radii, to_parent = tree.inner[at]
+                some = np.flatnonzero(np.abs(d - to_parent) - radii <= within)
+                if len(some):
+                    to = self._to(self._scores(pivots[some], q), offset)
+                    least = np.maximum(to - radii[some], 0)
+                    for i in np.flatnonzero(least <= within).tolist():
+                        heapq.heappush(queue, (float(least[i]), next(order), children[some[i]], float(to[i])))
                 continue
-            keys = np.rint(w[who] @ v[piece].T).astype(np.int64) * n + (n - 1 - piece)
-            keys[piece[None, :] == own[who][:, None]] = np.iinfo(np.int64).min
-            both = np.hstack([best[who], keys])
-            kept = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-            best[who] = kept
-            low = kept.min(1)
-            floor[who] = np.where(low == np.iinfo(np.int64).min, -np.inf, np.floor_divide(low, n))
-    row, col = np.nonzero(best != np.iinfo(np.int64).min)
-    found = best[row, col]
-    return query_ids[row], ids[n - 1 - found % n], np.floor_divide(found, n)
-
-
-def _plain(ids, vectors, query_ids, queries, k):
-    """Scores in Python's whole numbers, for components that are too large for the quick way."""
-    out = []
-    wide = vectors.astype(object)
-    for i, q in zip(query_ids.tolist(), queries.astype(object)):
-        scored = sorted((-s, j) for s, j in zip((wide @ q).tolist(), ids.tolist()) if j != i)[:k]
-        out += [(i, j, -s) for s, j in scored]
-    a = np.array(out, np.int64).reshape(-1, 3)
-    return a[:, 0], a[:, 1], a[:, 2]
-
-
-def _matrix(blobs: pd.Series) -> np.ndarray:
+            # Entries ruled out by their stored distance need no product.
+            some = entries[np.abs(d - to_pivot) <= within]
+            some = some[tree.rows[some] != row]
+            scores = self._scores(some, q).astype(np.int64)  # exact whole numbers either way
+            if floor is not None:
+                some, scores = some[scores >= floor], scores[scores >= floor]
+            if len(some):
+                best, best_id = np.append(best, scores), np.append(best_id, tree.ids[some])
+                if len(best) > k:
+                    top = np.lexsort((best_id, -best))[:k]
+                    best, best_id = best[top], best_id[top]
+                if len(best) == k:
+                    floor, within = int(best.min()), 0.0
+                    within = reach()
+        return best_id, best
+
+    @staticmethod
+    def _to(scores: np.ndarray, offset: float) -> np.ndarray:
+        return np.sqrt(np.maximum(2 * (offset - scores.astype(np.float64)), 0))
+
+
+def _matrix(blobs: Iterable[bytes]) -> np.ndarray:
+    blobs = list(blobs)
     return np.frombuffer(b"".join(blobs), "<i8").reshape(len(blobs), -1)
 
 
-def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, chunk_rows: int = CHUNK_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _pivots(rows: DataFrame, total: int, chunk_rows: int) -> dict[int, np.ndarray]:
+    """Length of vectors to pivots: a sample of at most MOST_PIVOTS rows, picked by hash."""
+    n = max(1, min(MOST_PIVOTS, -(-total // chunk_rows)))
+    found: dict[int, list[bytes]] = {}
+    for r in rows.select("dim", "v").orderBy(F.xxhash64("row")).limit(n).collect():
+        found.setdefault(r.dim, []).append(bytes(r.v))
+    return {dim: _matrix(dict.fromkeys(blobs)) for dim, blobs in found.items()}
+
+
+def _to_pivots(vectors: np.ndarray, pivots: np.ndarray, top: float, asking: bool) -> np.ndarray:
+    """(rows, pivots) distances; queries have a last component of 0."""
+    a, b = vectors.astype(np.float64), pivots.astype(np.float64)
+    last = lambda x: np.sqrt(np.maximum(top - (x**2).sum(1), 0))
+    apart = last(b)[None, :] - (0 if asking else last(a)[:, None])
+    out = (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * (a @ b.T) + apart**2
+    return np.sqrt(np.maximum(out, 0))
+
+
+def _by_pivot(rows: DataFrame, pivots: dict[int, np.ndarray], top: float) -> DataFrame:
+    """rows with `pivot`, the nearest one's position, and `apart`, the distance to it; 0 and an endless distance for lengths without pivots."""
+    names = ["row", "vec_id", "dim", "asks", "v"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, blobs = batch.column("dim").to_numpy(), batch.column("v").to_pylist()
+            pivot, apart = np.zeros(len(dims), np.int32), np.full(len(dims), np.inf)
+            for dim in np.unique(dims).tolist():
+                if dim in pivots:
+                    at = np.flatnonzero(dims == dim)
+                    d = _to_pivots(_matrix([blobs[i] for i in at]), pivots[dim], top, False)
+                    pivot[at], apart[at] = d.argmin(1), d.min(1)
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(pivot), pa.array(apart)], names=[*names, "pivot", "apart"])
+
+    return rows.select(*names).mapInArrow(run, "row long, vec_id long, dim int, asks boolean, v binary, pivot int, apart double")
+
+
+def _routes(queries: DataFrame, pivots: dict[int, np.ndarray], radius: dict[tuple[int, int], float], top: float) -> DataFrame:
+    """Queries (row, vec_id, dim, v, floor) to the pivots that may hold a score of at least `floor` (null: any); `nearest` marks one."""
+    names = ["row", "vec_id", "dim", "v", "floor"]
+    of_dim = {dim: np.array(sorted(p for d, p in radius if d == dim)) for dim, _ in radius}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            who, where, best = [], [], []
+            for i, (dim, blob, floor) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("dim", "v", "floor")))):
+                some = have = of_dim[dim]
+                nearest = have[0]
+                if dim in pivots:
+                    q = _matrix([blob])
+                    d = _to_pivots(q, pivots[dim], top, True)[0][have]
+                    nearest = have[d.argmin()]
+                    if floor is not None:
+                        offset = (float((q.astype(np.float64) ** 2).sum()) + top) / 2
+                        within = np.sqrt(max(0.0, 2 * (offset - floor + 1e-9 * (abs(offset) + 1) + 1e-6)))
+                        some = have[d - np.array([radius[dim, p] for p in have.tolist()]) <= within * (1 + 1e-9) + 1e-6 * np.sqrt(top)]
+                who += [i] * len(some)
+                where += some.tolist()
+                best += (some == nearest).tolist()
+            taken = [batch.column(c).take(pa.array(who, pa.int64())) for c in names]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(where, pa.int32()), pa.array(best, pa.bool_())], names=[*names, "pivot", "nearest"])
+
+    return queries.select(*names).mapInArrow(run, "row long, vec_id long, dim int, v binary, floor long, pivot int, nearest boolean")
+
+
+FOUND = "row long, query_id long, vec_id long, score long"
+
+
+def _searched(routed: DataFrame, trees: DataFrame, k: int) -> DataFrame:
+    """Results of queries (row, vec_id, v, floor, dim, pivot, sub, block) in their chunks' trees; a tree is copied once a block that asks it."""
+    key = ["dim", "pivot", "sub", "block"]
+    asked = routed.select(*key).distinct().toDF("dim", "pivot", "sub", "in_block").join(trees.select("dim", "pivot", "sub", "tree"), ["dim", "pivot", "sub"])
+    asked = asked.toDF("in_dim", "in_pivot", "in_sub", "in_block", "tree")
+
+    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out: list[pd.DataFrame] = []
+        if len(left) and len(right):
+            search = pickle.loads(left["tree"].iloc[0]).searcher()
+            for row, ident, blob, floor in zip(right["row"], right["vec_id"], right["v"], right["floor"]):
+                ids, scores = search(np.frombuffer(blob, "<i8"), row, k, None if pd.isna(floor) else int(floor))
+                out.append(pd.DataFrame({"row": row, "query_id": ident, "vec_id": ids, "score": scores}))
+        return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("row", "query_id", "vec_id", "score")})
+
+    asking = routed.select("row", "vec_id", "v", F.col("floor").cast("string").alias("floor"), *key)
+    return asked.groupBy("in_dim", "in_pivot", "in_sub", "in_block").cogroup(asking.groupBy(*key)).applyInPandas(work, FOUND)
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, chunk_rows: int = CHUNK_ROWS, block_rows: int = BLOCK_ROWS, page: int = PAGE) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products over all other rows.
 
-    is_query: a condition on vec_id. Vectors of different lengths don't meet. Scores beyond 63 bits fail.
-    Repeated vec_ids and nulls: see whole_numbers. Fewer than k other rows: all of them.
+    is_query: a condition on vec_id. Every row is a candidate but the query's own, also rows of the same
+    vec_id; of several query rows with one vec_id each gives its k rows. Vectors of different lengths don't
+    meet. Nulls, empty, odd and very large vectors: see whole_numbers. Fewer than k other rows: all of them.
+    An empty table gives an empty result; other columns are ignored.
     """
     pack = F.udf(lambda v: np.array(v, "<i8").tobytes(), "binary", useArrow=True)
-    rows = whole_numbers(vectors, scale).where(F.size("v") > 0)
-    rows = written(rows.select("vec_id", F.size("v").alias("dim"), pack("v").alias("v")))
-    total, asking = rows.select("vec_id").agg(F.count("*"), F.count_if(is_query)).first()
-    chunks, blocks = max(LEAST_CHUNKS, -(-total // chunk_rows)), max(1, -(-asking // block_rows))
-    deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
-    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    candidates = rows.select("*", deal(chunks, "chunk").alias("chunk")).select("*", every(blocks, "block"))
-    queries = rows.where(is_query).select("*", deal(blocks, "block").alias("block")).select("*", every(chunks, "chunk"))
+    rows = whole_numbers(vectors, scale)
+    norm = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x)
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.size("v").alias("dim"), F.coalesce(is_query, F.lit(False)).alias("asks"), norm.alias("norm"), pack("v").alias("v"))
+    # Written: a row keeps its number.
+    rows = written(rows)
+    total, asking, top = rows.agg(F.count("*"), F.count_if("asks"), F.max("norm")).first()
+    top = float(top or 0)
+    pivots = _pivots(rows, total, chunk_rows)
+    dealt = written(_by_pivot(rows, pivots, top))
+    # As many rows as there are pivots and lengths of vectors.
+    sizes = {(r.dim, r.pivot): (r.n, r.apart) for r in dealt.groupBy("dim", "pivot").agg(F.count("*").alias("n"), F.max("apart").alias("apart")).collect()}
+    spark = vectors.sparkSession
+    chunks = spark.createDataFrame([(d, p, -(-n // chunk_rows)) for (d, p), (n, _) in sizes.items()], "dim int, pivot int, chunks int")
+    radius = {at: apart for at, (_, apart) in sizes.items()}
+    blocks = max(1, -(-asking // block_rows))
 
-    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        a, b, s = search(left["vec_id"].to_numpy(), _matrix(left["v"]), right["vec_id"].to_numpy(), _matrix(right["v"]), k)
-        return pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
-
-    key = ["dim", "chunk", "block"]
-    met = candidates.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(lambda x, y: work(x, y) if len(x) and len(y) else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64"), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = met.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        tree = MTree(part["vec_id"].to_numpy(), part["row"].to_numpy(), _matrix(part["v"]), int(top), page)
+        first = part.iloc[0]
+        return pd.DataFrame({"dim": [first["dim"]], "pivot": [first["pivot"]], "sub": [first["sub"]], "tree": [tree.packed()]})
 
+    sub = F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int").alias("sub")
+    trees = dealt.join(F.broadcast(chunks), ["dim", "pivot"]).select("row", "vec_id", "dim", "v", "pivot", sub)
+    trees = written(trees.groupBy("dim", "pivot", "sub").applyInPandas(build, "dim int, pivot int, sub int, tree binary"))
 
-__all__ = ["MTree", "search", "top_k", "whole_numbers"]
+    block = F.pmod(F.xxhash64("row", F.lit("block")), F.lit(blocks)).cast("int").alias("block")
+    queries = dealt.where("asks").select("row", "vec_id", "dim", "v")
+    nearest = _routes(queries.withColumn("floor", F.lit(None).cast("long")), pivots, radius, top).where("nearest")
+    before = written(_searched(nearest.select("*", F.lit(0).alias("sub"), block), trees, k))
+    floors = before.groupBy("row").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    floors = floors.select("row", F.when(F.col("n") >= k, F.col("least")).alias("floor"))
+    routed = _routes(queries.join(floors, "row", "left"), pivots, radius, top).join(F.broadcast(chunks), ["dim", "pivot"])
+    # What has been searched already isn't searched again.
+    routed = routed.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("NOT nearest OR sub > 0").select("*", block)
+    found = before.unionAll(_searched(routed, trees, k))
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
