@@ -81,17 +81,16 @@ def drawn(docs: DataFrame, seed: int = 0, weight: Column | None = None, *more: C
     )
 
 
-def cuts(docs: DataFrame, seed: int = 0, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
-    """One row a source: its size, target, whole epochs, and where the rest of its budget ends in key order.
+def cuts(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+    """One row a source of `rows`, a table of what `drawn` gives: its size, target, whole epochs, and where the rest of its budget ends in key order.
 
     of, source_size, target, epochs, whole (whether the rest takes every document); cut: the key, row_key
     and row_key2 of the document that the budget ends in, null where there is none; left: the words that
     are left for it; cut_size: its own; copies: the rows equal to it, itself included; cut_doc: its doc_id.
     A table as long as there are sources.
     """
-    rows = drawn(docs, seed, weight)
     # Buckets to one unit of the logarithm.
-    n = max(32, math.ceil(docs.count() / (math.e * BUCKET_ROWS)))
+    n = max(32, math.ceil(rows.count() / (math.e * BUCKET_ROWS)))
     rows = rows.withColumn("bucket", F.floor(F.log("key") * n))
     sums = written(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
     by_source = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
@@ -124,9 +123,9 @@ def _numbered(rows: DataFrame, copies: str) -> DataFrame:
     return rows.withColumn("i", F.explode(F.sequence("chunk", F.least(F.col("chunk") + COPIES_AT_ONCE, F.col(copies)) - 1)))
 
 
-def _placed(docs: DataFrame, cut: DataFrame, seed: int, weight: Column | None, *more: Column) -> DataFrame:
-    """Rows of `drawn` and `more` with their source's cut; `before`: whether they lie before it; `ends`: whether it is theirs."""
-    rows = drawn(docs, seed, weight, *more).join(cut, F.col("source").eqNullSafe(F.col("of")))
+def _placed(rows: DataFrame, cut: DataFrame) -> DataFrame:
+    """Rows of `drawn` with their source's cut; `before`: whether they lie before it; `ends`: whether it is theirs."""
+    rows = rows.join(cut, F.col("source").eqNullSafe(F.col("of")))
     place = F.struct("key", "row_key", "row_key2")
     return rows.withColumns({"before": F.col("whole") | F.coalesce(place < F.col("cut"), F.lit(False)), "ends": F.coalesce(place == F.col("cut"), F.lit(False))})
 
@@ -138,8 +137,10 @@ def taken(docs: DataFrame, seed: int = 0, weight: Column | None = None, **how) -
     meet its target to the word; of equal rows there, the first ones give all. Null texts have size 0; null
     doc_ids and repeated rows take part like others; a source without words has target 0.
     """
-    cut = cuts(docs, seed, weight, **how)
-    rows = _placed(docs, cut, seed, weight).where("NOT (ends AND copies > 1)")
+    # Written: texts are read once, what a document weighs is a small row.
+    slim = written(drawn(docs, seed, weight))
+    cut = cuts(slim, **how)
+    rows = _placed(slim, cut).where("NOT (ends AND copies > 1)")
     some = F.when(F.col("before"), F.col("size")).when(F.col("ends"), F.col("left")).otherwise(0)
     rows = rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + some).cast("long").alias("taken"))
     some = F.least(F.greatest(F.col("left") - F.col("i") * F.col("cut_size"), F.lit(0)), F.col("cut_size"))
@@ -155,8 +156,8 @@ def mix(docs: DataFrame, seed: int = 0, weight: Column | None = None, **how) ->
     The document that the budget ends in is in if at least half of it fits; of rows equal to it, as many
     as fit so. Documents without words go by the place of their key. Other cases as in `taken`.
     """
-    cut = cuts(docs, seed, weight, **how)
-    rows = _placed(docs, cut, seed, weight, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    cut = cuts(written(drawn(docs, seed, weight)), **how)
+    rows = _placed(drawn(docs, seed, weight, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), cut)
     alone = F.col("before") | (F.col("ends") & (F.col("copies") == 1) & (2 * F.col("left") >= F.col("cut_size")))
     often = F.col("epochs").cast("int") + F.when(alone, 1).otherwise(0)
     out = rows.select("row", often.alias("often")).where("often > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("often")))).select("row.*")
