@@ -47,6 +47,14 @@ def row_keys(df: DataFrame) -> tuple[Column, Column]:
     return F.xxhash64(*cols), F.xxhash64(*map(F.isnull, cols), *cols)
 
 
+def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row of docs for each of the keys (two columns, see row_keys); columns are those of docs, whatever their names."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(*[k.alias(n) for k, n in zip(row_keys(docs), ("key0", "key1"))], row)
+    met = keyed.join(keys.toDF("key0", "key1"), ["key0", "key1"], "left_semi").dropDuplicates(["key0", "key1"])
+    return met.select("row.*")
+
+
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 

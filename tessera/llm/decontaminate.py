@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIMILARITY, RECALL, SEED = 0.8, 0.99, 7
+SIMILARITY, RECALL, SEED = 0.8, 0.999, 7
 SPACING, STEPS, RARE = 8, 12, 400  # words from one start of walks to the next, steps of a walk, see above
 BACK = 1 / 5  # chance that two walks run on together after an edit, their bits equal
 AT_ONCE = 256  # windows embedded at once

@@ -1,11 +1,18 @@
-"""Near-copies by exact Jaccard similarity of word shingles, found by prefix filtering.
-
-Sets of similarity t or more share a member among the first n - ceil(t n) + 1 of each, whatever order
-all sets are put in, so that only those prefixes are dealt. The order takes shingles that are common in
-a bounded sample last, then goes by hash: it decides how many candidates there are, never which links
-are found. Candidates are compared by their whole sets, in two rounds: members of a bucket with its
-first member and with the one before, then pairs that the links so far leave in different components.
-Links inside a component change nothing, so a large group of near-copies isn't compared pair by pair.
+"""Near-copies by SimHash and BK-trees: texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+
+At that similarity the fingerprints of two shingle sets differ in about 10 of 64 bits, in more than
+`RADIUS` in less than one case of 10,000; unrelated ones differ in 32. No choice of equal bit blocks holds
+such links together, so shards come from the texts themselves: sets of similarity t or more share a
+member among the first n - ceil(t n) + 1 of each, whatever order all shingles are put in, and a
+shard holds the sets that have a shingle there. The order takes shingles that are common in a bounded
+sample last, then goes by hash: it decides how large shards are, never which links are found.
+
+A shard's fingerprints go into a BK-tree, children keyed by their Hamming distance to the parent, and a
+search follows only edges within the radius. What it finds is compared by whole sets. A first round
+reports a spanning forest of what each shard's tree found, so that a large group of near-copies isn't
+compared pair by pair; the second reports what is left: pairs whose members the links so far leave in
+different components. Shards beyond `shard_rows` are cut into parts: the first round links each part
+within itself and with the shard's first member, the second meets part with part.
 """
 
 from __future__ import annotations
@@ -16,13 +23,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, row_keys, written
-from tessera.llm.simhash import SEED, pieces
+from tessera.llm.common import components, keep_rows, row_keys, written
+from tessera.llm.simhash import SEED, SHARD_ROWS, BKTree, ones_of, pieces
 
-SHINGLE, LEAST = 5, 0.8
+SHINGLE, LEAST, RADIUS = 5, 0.8, 24
 SAMPLE_ROWS, COMMON = 10_000, 100_000  # rows that the order is taken from (in expectation), shingles that it knows
 EPS = 1e-9
 
@@ -34,13 +41,21 @@ def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
         words = carried + piece
         carried = words
         if len(words) >= size:
-            sums.append(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), SEED) for i in range(len(words) - size + 1)], np.uint64))
+            joined = b" ".join(words)
+            ends = np.cumsum([len(w) + 1 for w in words])
+            starts = np.concatenate(([0], ends[:-1]))[: len(words) - size + 1].tolist()
+            sums.append(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())], np.uint64))
             carried = words[len(words) - size + 1 :]
     if len(sums) == 1 and carried:
         sums.append(np.array([xxhash.xxh64_intdigest(b" ".join(carried), SEED)], np.uint64))
     return np.unique(np.concatenate(sums))
 
 
+def set_fingerprint(s: np.ndarray) -> int:
+    """SimHash of a set: a bit is 1 if set in over half of its members."""
+    return sum(1 << b for b in np.flatnonzero(2 * ones_of(s) > len(s)).tolist()) if len(s) else 0
+
+
 def prefix_length(n: int, least: float) -> int:
     return n - math.ceil(least * n - EPS) + 1 if n else 0
 
@@ -68,7 +83,7 @@ def _common(keyed: DataFrame, size: int, sample_rows: int) -> tuple[np.ndarray,
 
 
 def _prefixes(keyed: DataFrame, size: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, key0, key1, id, n, prefix): id is a sum of the set, n its size."""
+    """(doc_id, key0, key1, id, n, fp, prefix): id is a sum of the set, n its size, fp its fingerprint as a signed long."""
     known, often = common
 
     def prefix(s: np.ndarray) -> np.ndarray:
@@ -82,10 +97,11 @@ def _prefixes(keyed: DataFrame, size: int, least: float, common: tuple[np.ndarra
         for batch in batches:
             sets = [shingles(t.as_py(), size) for t in batch.column("text").cast(pa.binary())]
             ids = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            made = [pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(prefix, sets)), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "key0", "key1")), *made], names=["doc_id", "key0", "key1", "id", "n", "prefix"])
+            fps = np.array(list(map(set_fingerprint, sets)), np.uint64).view(np.int64)
+            made = [pa.array(ids), pa.array([len(s) for s in sets], pa.int32()), pa.array(fps), pa.array(list(map(prefix, sets)), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "key0", "key1")), *made], names=["doc_id", "key0", "key1", "id", "n", "fp", "prefix"])
 
-    return keyed.mapInArrow(run, "doc_id long, key0 long, key1 long, id long, n long, prefix array<long>")
+    return keyed.mapInArrow(run, "doc_id long, key0 long, key1 long, id long, n int, fp long, prefix array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -95,52 +111,123 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(common * (1 + least) >= least * (F.size("s") + F.size("t")) - EPS).select("a", "b")
 
 
-def linked(firsts: DataFrame, keyed: DataFrame, size: int, least: float) -> DataFrame:
-    """(node, root) of the sets in firsts (id, n, prefix, first) that have a partner."""
-    entries = firsts.select("id", "n", F.explode("prefix").alias("h"))
-    w = Window.partitionBy("h").orderBy("n", "id")
-    own = entries.select(
-        "h", "id", "n", F.lag("id").over(w).alias("prev"), F.lag("n").over(w).alias("prev_n"),
-        F.first("id").over(w).alias("head"), F.first("n").over(w).alias("head_n"), F.lead("id").over(w).alias("after"),
-    )
-    shared = written(own.where("prev IS NOT NULL OR after IS NOT NULL").drop("after"))
-
-    def pairs(rows: DataFrame, other: str, other_n: str) -> DataFrame:
-        near = rows.where((F.col(other) != F.col("id")) & (F.col(other_n) >= least * F.col("n") - EPS))
-        return near.select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b"))
-
-    tried = written(pairs(shared, "prev", "prev_n").union(pairs(shared, "head", "head_n")).distinct())
-    # Members are sorted by size, so whoever has a partner of fitting size has one beside itself: no other sets are needed.
-    needed = tried.select("a").union(tried.select("b")).distinct().toDF("id")
-    rows = firsts.join(needed, "id").select("id", F.col("first.key0").alias("key0"), F.col("first.key1").alias("key1"))
-    texts = keyed.select("key0", "key1", "text").join(rows, ["key0", "key1"]).dropDuplicates(["id"])
-    sets = written(_sets(texts, size, "id"))
+def _fits(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of these sizes can be similar enough."""
+    return np.minimum(a, b) >= least * np.maximum(a, b) - EPS
+
+
+def forest(fps: np.ndarray, sizes: np.ndarray, radius: int, least: float) -> list[tuple[int, int]]:
+    """Positions of pairs within the radius, of sizes that fit, that connect all such pairs."""
+    label, out = np.arange(len(fps)), []
+    for node, hits in BKTree(fps.tolist()).search(fps, radius):
+        hits = hits[(label[hits] != label[node]) & _fits(sizes[hits], sizes[node], least)]
+        if len(hits):
+            labels, first = np.unique(label[hits], return_index=True)
+            out += [(node, q) for q in hits[first].tolist()]
+            label[np.isin(label, labels)] = label[node]
+    return out
+
+
+def apart(fps: np.ndarray, sizes: np.ndarray, roots: np.ndarray, first: int, radius: int, least: float) -> list[tuple[int, int]]:
+    """Positions of pairs within the radius whose sizes fit and whose roots differ, one before `first` and one from it on; if `first` is 0, of all pairs."""
+    out = []
+    for node, hits in BKTree(fps[: first or None].tolist()).search(fps[first:], radius):
+        hits = hits + first
+        hits = hits[(roots[hits] != roots[node]) & _fits(sizes[hits], sizes[node], least)]
+        out += [(node, q) for q in hits.tolist() if first or q > node]
+    return out
+
+
+def _pairs(rows: DataFrame, radius: int, least: float) -> DataFrame:
+    """rows (h, lo, hi, part, id, n, fp, root), dealt and sorted by (h, lo, hi): candidate pairs (a, b).
+
+    Without roots (null) a spanning forest of each (h, lo, hi); with roots all pairs between different ones, of a pair of parts those that it has between them.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [], set()
+
+        def close() -> None:
+            if len(held) < 2:
+                return
+            held.sort(key=lambda m: m[0] != key[1])  # of two parts the first one is the tree
+            ids, sizes, fps = [m[1] for m in held], np.array([m[2] for m in held]), np.array([m[3] for m in held], np.int64).view(np.uint64)
+            if held[0][4] is None:
+                found = forest(fps, sizes, radius, least)
+            elif (first := sum(m[0] == key[1] for m in held) % len(held)) or key[1] == key[2]:
+                found = apart(fps, sizes, np.array([m[4] for m in held]), first, radius, least)
+            else:
+                found = []
+            out.update((min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in found if ids[i] != ids[j])
+
+        def pack() -> pa.RecordBatch:
+            a = np.array(sorted(out), np.int64).reshape(-1, 2)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("h", "lo", "hi")))
+            for k, *member in zip(keys, *(batch.column(c).to_pylist() for c in ("part", "id", "n", "fp", "root"))):
+                if k != key:
+                    close()
+                    key, held = k, []
+                held.append(member)
+            if len(out) > 50_000:
+                yield pack()
+        close()
+        yield pack()
+
+    dealt = rows.select("h", "lo", "hi", "part", "id", "n", "fp", "root").repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def linked(firsts: DataFrame, keyed: DataFrame, size: int, least: float, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(node, root) of the sets in firsts (id, n, fp, prefix, first) that have a partner."""
+    entries = firsts.select("id", "n", "fp", F.explode("prefix").alias("h"))
+    counts = written(entries.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
+    parts = F.ceil(F.col("c") / shard_rows).cast("int")
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    shared = written(entries.join(counts, "h").withColumn("parts", parts).select("h", "id", "n", "fp", "parts", part.alias("part")))
+    # The first member of a shard in several parts is in each of them.
+    large = shared.where("parts > 1")
+    heads = large.groupBy("h").agg(F.min(F.struct("n", "id", "fp", "parts")).alias("m"))
+    heads = heads.select("h", "m.id", "m.n", "m.fp", F.explode(F.sequence(F.lit(0), F.col("m.parts") - 1)).alias("part"))
+    alone = lambda rows: rows.select("h", F.col("part").alias("lo"), F.col("part").alias("hi"), "part", "id", "n", "fp", F.lit(None).cast("long").alias("root"))
+    tried = written(_pairs(alone(shared).unionAll(alone(heads)), radius, least).distinct())
+    needed = written(tried.select("a").union(tried.select("b")).distinct().toDF("id"))
+
+    def sets_of(needed: DataFrame) -> DataFrame:
+        rows = firsts.join(needed, "id").select("id", F.col("first.key0").alias("key0"), F.col("first.key1").alias("key1"))
+        return written(_sets(keyed.select("key0", "key1", "text").join(rows, ["key0", "key1"]).dropDuplicates(["id"]), size, "id"))
+
+    sets = sets_of(needed)
     links = written(_verified(tried, sets, least))
     of = components(links).toDF("id", "root")
 
-    named = written(shared.select("h", "id", "n").join(of, "id", "left").select("h", "id", "n", F.coalesce("root", "id").alias("root")))
-    mixed = named.groupBy("h").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("c > 2 AND lo <> hi").select("h")
-    left = written(named.join(mixed, "h"))
-    x, y = left.toDF("h", "a", "n", "ra"), left.toDF("h", "b", "m", "rb")
-    fits = (F.col("n") <= F.col("m")) & (F.col("n") >= least * F.col("m") - EPS) & (F.col("a") != F.col("b")) & (F.col("ra") != F.col("rb"))
-    more = x.join(y, "h").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = written(more.join(tried, ["a", "b"], "left_anti"))
-    return components(links.union(_verified(more, sets, least)))
+    named = written(shared.join(of, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    mixed = named.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("h")
+    left = named.join(mixed, "h").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left = left.select("h", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "n", "fp", "root")
+    more = written(_pairs(left, radius, least).distinct().join(tried, ["a", "b"], "left_anti"))
+    # A set that only the second round asks for wasn't read in the first.
+    unread = more.select("a").union(more.select("b")).distinct().toDF("id").join(needed, "id", "left_anti")
+    return components(links.union(_verified(more, sets.union(sets_of(written(unread))), least)))
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, radius: int = RADIUS, sample_rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The documents without near-copies: one row of each group stays; the columns are those of `docs`.
 
     A group is what links of Jaccard similarity `least` or more connect. Words are as in SimHash: split at
     ASCII white space, ASCII letters lower-cased. Texts without words are copies of each other. The row
     with the least doc_id stays (null last); between rows with one doc_id a sum of all columns decides.
+    Null and empty texts are texts without words; rows equal in every column are one row; an empty table
+    gives an empty result. Fingerprints further apart than `radius` don't link (see above).
     """
     key0, key1 = row_keys(docs)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key0.alias("key0"), key1.alias("key1"))
     rows = _prefixes(keyed, shingle, least, _common(keyed, shingle, sample_rows))
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key0", "key1")
-    firsts = written(rows.groupBy("id").agg(F.min(place).alias("first"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")))
-    groups = linked(firsts, keyed, shingle, least).toDF("id", "root")
+    firsts = written(rows.groupBy("id").agg(F.min(place).alias("first"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("prefix").alias("prefix")))
+    groups = linked(firsts, keyed, shingle, least, radius, shard_rows).toDF("id", "root")
     kept = firsts.select("id", "first").join(groups, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
-    met = docs.withColumns({"__key0": key0, "__key1": key1}).join(kept.select(F.col("first.key0").alias("__key0"), F.col("first.key1").alias("__key1")), ["__key0", "__key1"], "left_semi")
-    return met.dropDuplicates(["__key0", "__key1"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keep_rows(docs, kept.select("first.key0", "first.key1"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, row_keys, written
+from tessera.llm.common import components, keep_rows, row_keys, written
 
 RADIUS, SHARD_ROWS, SHINGLE, SEED = 4, 4096, 4, 42
 EXPECTED = 64  # fingerprints that a shard is to hold at most if they were random
@@ -49,17 +49,18 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
             ends = np.cumsum([len(w) + 1 for w in words])
             starts = np.concatenate(([0], ends[:-1]))[: len(words) - shingle + 1].tolist()
             hashes = [xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())]
-            ones += _ones(hashes)
+            ones += ones_of(hashes)
             n += len(hashes)
             carried = words[len(words) - shingle + 1 :]
         else:
             carried = words
     if not n and carried:
-        ones, n = _ones([xxhash.xxh64_intdigest(b" ".join(carried), SEED)]), 1
+        ones, n = ones_of([xxhash.xxh64_intdigest(b" ".join(carried), SEED)]), 1
     return sum(1 << b for b in np.flatnonzero(2 * ones > n).tolist())
 
 
-def _ones(hashes: list[int]) -> np.ndarray:
+def ones_of(hashes: list[int] | np.ndarray) -> np.ndarray:
+    """How many of the numbers have each bit set."""
     columns = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
     return np.concatenate([np.bincount(columns[:, i], minlength=256) @ BYTE_BITS for i in range(8)])
 
@@ -243,7 +244,4 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, blocks: int | None = None, s
     firsts = written(rows.groupBy("fp").agg(F.min(place).alias("first")))
     groups = linked(firsts.select("fp"), radius, blocks, shard_rows).toDF("fp", "root")
     kept = firsts.join(groups, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    names, (a, b) = docs.columns, row_keys(docs)
-    keyed = docs.withColumns({"__key0": a, "__key1": b})
-    met = keyed.join(kept.select(F.col("first.key0").alias("__key0"), F.col("first.key1").alias("__key1")), ["__key0", "__key1"], "left_semi")
-    return met.dropDuplicates(["__key0", "__key1"]).select(*[F.col(f"`{c}`") for c in names])
+    return keep_rows(docs, kept.select("first.key0", "first.key1"))

@@ -28,8 +28,8 @@ def test_stage_on_a_table(spark):
     assert {r.doc_id for r in got} == kept([(r.doc_id, r.text) for r in docs.collect()]) and 177 not in {r.doc_id for r in got}
 
 
-@pytest.mark.parametrize("sample_rows", [1, 10_000])
-def test_against_all_pairs(spark, sample_rows):
+@pytest.mark.parametrize("sample_rows,shard_rows", [(1, 4096), (10_000, 5)])
+def test_against_all_pairs(spark, sample_rows, shard_rows):
     rng, texts = corpus(3, 60, low=1, high=120)
     rng = random.Random(4)
     for base in texts[:12]:  # chains of copies with edits, around a passage that many share
@@ -40,7 +40,7 @@ def test_against_all_pairs(spark, sample_rows):
             texts.append(base + texts[20][:8] * (rng.random() < 0.3))
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert {r.doc_id for r in N.keep_one(docs, sample_rows=sample_rows).collect()} == kept(rows)
+    assert {r.doc_id for r in N.keep_one(docs, sample_rows=sample_rows, shard_rows=shard_rows).collect()} == kept(rows)
 
 
 def test_odd_and_empty(spark):

@@ -16,7 +16,7 @@ from tests.llm.helpers import no_docs, odd_docs
 from tests.llm.test_decontaminate import brute as leaks
 from tests.llm.test_language import best_path
 from tests.llm.test_mixing import fill
-from tests.llm.test_simhash import groups, plain
+from tests.llm.test_nearcopies import kept as one_of_each
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,9 +77,7 @@ def test_against_plain_python(spark):
     rows = {r.doc_id: r for r in docs.collect()}
     model = language.fit(docs)
     kept = [i for i in rows if known_language(model, rows[i].text)]
-    fps = {i: plain(rows[i].text) for i in kept}
-    near = [(a, b) for a in kept for b in kept if a < b and (fps[a] ^ fps[b]).bit_count() <= 4]
-    kept = sorted(set(groups(near, kept).values()))
+    kept = sorted(one_of_each([(i, rows[i].text) for i in kept]))
     bench = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
     kept = sorted(set(kept) - {d for d, _ in leaks([(i, rows[i].text) for i in kept], bench)})
     copies = copies_of([rows[i] for i in kept])
