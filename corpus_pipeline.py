@@ -21,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with five-word Jaccard similarity of 0.8 or more stays."""
+    """SimHash near-dedup: one document of each group with five-word Jaccard similarity of 0.8 or more stays."""
     return nearcopies.keep_one(docs)
 
 
