@@ -169,12 +169,19 @@ def stem_russian(word: str) -> str:
 STEMMERS = {"en": stem_english, "ru": stem_russian}
 
 
+def stemmed(word: str, lang: str) -> str:
+    """The stem; a word that the stemmer can't take stays as it is."""
+    try:
+        return STEMMERS[lang](word)
+    except (IndexError, ValueError, UnicodeError):
+        return word
+
+
 def stem_udf(lang: str):
     """Arrow-batched stemmer of one language."""
-    stem = STEMMERS[lang]
 
     @F.pandas_udf("string")
     def run(words: pd.Series) -> pd.Series:
-        return words.map(stem, na_action="ignore")
+        return words.map(lambda w: stemmed(w, lang), na_action="ignore")
 
     return run

@@ -30,12 +30,14 @@ class StoreOptions:
     """Settings of one store; none of them changes an answer, only the layout.
 
     flush_keys: pending distinct keys that trigger a new run (values below 1 flush each batch).
-    row_group_rows: rows of a Parquet row group at most.  bloom_fp: rate asked of the Bloom filters.
-    max_runs: more live runs than this trigger a merge.  mode: merge policy.
+    row_group_bytes, row_group_rows: size of a Parquet row group at most (0 rows: no such limit).
+    bloom_fp: rate asked of the Bloom filters.  max_runs: more live runs than this trigger a merge of the
+    newest ones, tier by tier.  mode: merge policy.
     """
 
-    flush_keys: int = 1024
-    row_group_rows: int = 128
+    flush_keys: int = 1 << 20
+    row_group_bytes: int = 128 << 20
+    row_group_rows: int = 0
     bloom_fp: float = 0.01
     max_runs: int = 4
     mode: str = KV_LATEST

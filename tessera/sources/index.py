@@ -1,4 +1,4 @@
-"""A persistent text index: a posting store and a universe store with one language."""
+"""A persistent text index with one language: postings and the ids of all documents under one manifest."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ from tessera.plans.search import search
 from tessera.schema import UNION, StoreOptions
 from tessera.sources.store import Files, Store
 
-#: Term under which the universe store keeps all ids; it lives in a table of its own.
-ALL = "*"
+#: Term under which the store keeps all ids: no text has an empty term. One batch is thus one commit.
+ALL = ""
 
 
 class Index:
@@ -21,20 +21,25 @@ class Index:
         chosen = options or StoreOptions()
         chosen = replace(chosen, mode=UNION, lang=lang or chosen.lang)
         # Without a language or options, an existing index keeps what its manifest says.
-        stored = Files(spark, f"{path}/terms").names("manifest") and not (lang or options)
-        self.terms = Store(spark, f"{path}/terms", None if stored else chosen)
-        self.docs = Store(spark, f"{path}/docs", self.terms.options)
-        self.lang = self.terms.options.lang
+        stored = Files(spark, path).names("manifest") and not (lang or options)
+        self.store = Store(spark, path, None if stored else chosen)
+        self.lang = self.store.options.lang
+
+    @property
+    def terms(self) -> DataFrame:
+        return self.store.runs().where(F.col("term") != ALL)
+
+    @property
+    def docs(self) -> DataFrame:
+        return self.store.runs().where(F.col("term") == ALL).select("doc_id").distinct()
 
     def add(self, docs: DataFrame) -> None:
-        """Index a batch (doc_id, text): one commit a store. Adding an id again adds to its terms."""
+        """Index a batch (doc_id, text). Adding an id again adds to its terms; an id without terms is a document too."""
         docs = checked(docs)
-        self.terms.write(postings(docs, self.lang))
-        self.docs.write(universe(docs).select(F.lit(ALL).alias("term"), "doc_id"))
+        self.store.write(postings(docs, self.lang).unionByName(universe(docs).select(F.lit(ALL).alias("term"), "doc_id")))
 
     def flush(self) -> None:
-        self.terms.flush()
-        self.docs.flush()
+        self.store.flush()
 
     def search(self, query: str, strict: bool = False, backend: str = "predicate") -> DataFrame:
-        return search(self.terms.runs(), self.docs.runs().select("doc_id"), query, self.lang, strict, backend)
+        return search(self.terms, self.docs, query, self.lang, strict, backend)

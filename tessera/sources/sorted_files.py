@@ -13,7 +13,9 @@ numbers are little-endian and lengths are 32 bits:
 from __future__ import annotations
 
 import struct
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import takewhile
 from typing import NamedTuple
 
 import numpy as np
@@ -119,7 +121,7 @@ class SortedFile:
     def entries(self, start: str = "") -> Iterator[Entry]:
         """Entries from a key on, in key order; blocks before it aren't decoded."""
         low = start.encode()
-        skip = max(0, sum(k <= low for k in self.first) - 1)
+        skip = max(0, bisect_right(self.first, low) - 1)
         for a, b in list(zip(self.bounds, self.bounds[1:]))[skip:]:
             if not 0 <= a < b:
                 raise CorruptFile("corrupted block")
@@ -129,7 +131,16 @@ class SortedFile:
         """The key's entry, a tombstone too."""
         if not self.bloom.might_contain(key):
             return None
-        return next((e for e in self.entries(key) if e.key == key), None) if key else None
+        # The block that may hold the key is the last one that doesn't begin after it.
+        at = bisect_right(self.first, key.encode()) - 1
+        if not key or at < 0:
+            return None
+        a, b = self.bounds[at : at + 2]
+        if not 0 <= a < b:
+            raise CorruptFile("corrupted block")
+        entries = list(unpack_block(self.data[a:b]))
+        i = bisect_left(entries, key.encode(), key=lambda e: e.key.encode())
+        return entries[i] if i < len(entries) and entries[i].key == key else None
 
 
 COLUMNS = "key string, value binary, tombstone boolean, seq long, epoch long, run_id long"
@@ -145,15 +156,36 @@ def read(spark: SparkSession, path: str, start: str | None = None, end: str | No
     names = sorted(r.path for r in files.select("path").collect())
     ages = spark.createDataFrame([(p, i) for i, p in enumerate(names)], "path string, age long")
 
+    return unpack_files(files.join(F.broadcast(ages), "path").select("content", "age"), start, end)
+
+
+def unpack_files(files: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The versions in files (content, age), those of a range of keys if asked; blocks outside aren't decoded."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content, age in zip(batch.column("content"), batch.column("age").to_pylist()):
+                found = list(takewhile(lambda e: end is None or e.key.encode() <= end.encode(), SortedFile(content.as_py()).entries(start or "")))
+                columns = [pa.array([e[i] for e in found], k) for i, k in enumerate((pa.string(), pa.binary(), pa.bool_(), pa.int64()))]
+                age = pa.array([age] * len(found), pa.int64())
+                yield pa.RecordBatch.from_arrays([*columns, age, age], names=["key", "value", "tombstone", "seq", "epoch", "run_id"])
+
+    return files.select("content", "age").mapInArrow(run, COLUMNS)
+
+
+def lookup(files: DataFrame, keys: list[str]) -> DataFrame:
+    """(key, value, tombstone, seq, epoch, run_id) of the keys in files (content, age): Bloom filter, block search, then the block."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content, age in zip(batch.column("content"), batch.column("age").to_pylist()):
-                found = [e for e in SortedFile(content.as_py()).entries(start or "") if end is None or e.key.encode() <= end.encode()]
+                f = SortedFile(content.as_py())
+                found = [e for k in keys if (e := f.get(k)) is not None]
                 columns = [pa.array([e[i] for e in found], k) for i, k in enumerate((pa.string(), pa.binary(), pa.bool_(), pa.int64()))]
                 age = pa.array([age] * len(found), pa.int64())
                 yield pa.RecordBatch.from_arrays([*columns, age, age], names=["key", "value", "tombstone", "seq", "epoch", "run_id"])
 
-    return files.join(F.broadcast(ages), "path").select("content", "age").mapInArrow(run, COLUMNS)
+    return files.select("content", "age").mapInArrow(run, COLUMNS)
 
 
 def pack_files(rows: DataFrame, files: int, block_entries: int = BLOCK_ENTRIES, fp: float = 0.01) -> DataFrame:
@@ -227,6 +259,11 @@ def pack_set(members: Iterable[int]) -> bytes:
     return struct.pack("<II", NO_RUNS, len(by_high)) + heads + np.array(offsets, "<u4").tobytes() + bodies
 
 
+def merge_sets(a: bytes, b: bytes) -> bytes:
+    """The union of two serialised sets; either one malformed is an error."""
+    return pack_set([*set_members(a), *set_members(b)])
+
+
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
     """(term, doc_id) of an index kept in such files: the union of a term's sets over all files."""
 
