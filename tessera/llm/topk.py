@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import written
 
 K, STEP, SCALE = 20, 20, 64
-CHUNK_ROWS, BLOCK_ROWS, MOST_PIVOTS, PAGE = 8192, 4096, 1024, 96
+CHUNK_ROWS, BLOCK_ROWS, MOST_PIVOTS, PAGE = 8192, 4096, 1024, 512
 BITS = 62  # of a score at most
 
 
@@ -56,13 +56,14 @@ class Space:
 
     def __init__(self, vectors: np.ndarray, top: int):
         largest = max(1, int(np.abs(vectors).max(initial=0)))
-        self.exact = largest**2 * max(1, vectors.shape[1]) < 2**52  # then products of doubles are exact, and quicker
-        self.v = vectors.astype(np.float64 if self.exact else np.int64)
+        # Products of floats are quicker, and exact as long as no sum outgrows their digits.
+        most = largest**2 * max(1, vectors.shape[1])
+        self.v = vectors.astype(np.float32 if most < 2**23 else np.float64 if most < 2**52 else np.int64)
         self.last = np.sqrt(np.maximum(float(top) - (vectors.astype(np.float64) ** 2).sum(1), 0))
         self.top = float(top)
 
     def distances(self, pivot: int, ids: np.ndarray) -> np.ndarray:
-        d = (self.v[ids] - self.v[pivot]).astype(np.float64)
+        d = self.v[ids].astype(np.float64) - self.v[pivot]
         return np.sqrt((d * d).sum(1) + (self.last[ids] - self.last[pivot]) ** 2)
 
 
@@ -75,6 +76,16 @@ class MTree:
         self.nodes: list[tuple] = []
         space = Space(vectors, top)
         self._build(space, np.arange(len(ids)), 0, 0.0)
+        # Rows are put in the pages' order: a page's entries become a range.
+        order = np.concatenate([n[4] for n in self.nodes if n[3] is None])
+        self.ids, self.rows, self.vectors = ids[order], rows[order], vectors[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        nodes, at = self.nodes, 0
+        for i, (pivot, radius, to_parent, children, entries, to_pivot) in enumerate(nodes):
+            if children is None:
+                entries, at = (at, at + len(entries)), at + len(entries)
+            nodes[i] = (int(place[pivot]), radius, to_parent, children, entries, to_pivot)
         self.inner = [None if n[3] is None else tuple(np.array([self.nodes[c][i] for c in n[3]]) for i in range(3)) for n in self.nodes]
 
     def _build(self, space: Space, ids: np.ndarray, pivot: int, to_parent: float) -> int:
@@ -109,15 +120,17 @@ class Searcher:
         self.tree, self.space, self.computed = tree, Space(tree.vectors.astype(np.int64), tree.top), 0
         self.largest = int(np.abs(tree.vectors.astype(np.int64)).max(initial=0))
 
-    def _scores(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
-        self.computed += len(at)
-        return self.space.v[at] @ query
+    def _scores(self, at: np.ndarray | slice, query: np.ndarray) -> np.ndarray:
+        scores = self.space.v[at] @ query
+        self.computed += len(scores)
+        return scores
 
     def __call__(self, query: np.ndarray, row: int, k: int = K, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(vec_id, score) of the k best by (score, smaller vec_id) that reach `floor`, the row itself left out."""
         tree, space = self.tree, self.space
-        if space.exact and int(np.abs(query).max(initial=0)) * self.largest * len(query) >= 2**52:
-            space.v, space.exact = tree.vectors.astype(np.int64), False
+        most = int(np.abs(query).max(initial=0)) * self.largest * len(query)
+        if most >= {4: 2**23, 8: 2**52}[space.v.itemsize] and space.v.dtype != np.int64:
+            space.v = tree.vectors.astype(np.float64 if most < 2**52 else np.int64)
         q = query.astype(space.v.dtype)
         offset = (float((query.astype(np.float64) ** 2).sum()) + space.top) / 2  # score = offset - distance^2 / 2
         slack = 1e-9 * (abs(offset) + 1) + 1e-6  # rounding of distances
@@ -144,11 +157,22 @@ class Searcher:
                         heapq.heappush(queue, (float(least[i]), next(order), children[some[i]], float(to[i])))
                 continue
             # Entries ruled out by their stored distance need no product.
-            some = entries[np.abs(d - to_pivot) <= within]
-            some = some[tree.rows[some] != row]
-            scores = self._scores(some, q).astype(np.int64)  # exact whole numbers either way
+            fits = np.abs(d - to_pivot) <= within
+            kept = int(np.count_nonzero(fits))
+            if not kept:
+                continue
+            if kept == len(fits):
+                scores, some = self._scores(slice(*entries), q), None
+            else:
+                some = np.flatnonzero(fits) + entries[0]
+                scores = self._scores(some, q)
             if floor is not None:
-                some, scores = some[scores >= floor], scores[scores >= floor]
+                high = np.flatnonzero(scores >= floor)
+                scores, some = scores[high], high + entries[0] if some is None else some[high]
+            elif some is None:
+                some = np.arange(*entries)
+            other = tree.rows[some] != row
+            some, scores = some[other], scores[other].astype(np.int64)  # exact whole numbers, whatever the type
             if len(some):
                 best, best_id = np.append(best, scores), np.append(best_id, tree.ids[some])
                 if len(best) > k:

@@ -105,18 +105,19 @@ def test_pages_keep_their_bounds():
     rng = np.random.default_rng(3)
     points = rng.integers(-100, 101, (900, 5))
     tree = K.MTree(np.arange(900), np.arange(900), points, max(int(x @ x) for x in points), page=16)
-    space, seen = K.Space(points, tree.top), []
+    space, seen = K.Space(tree.vectors, tree.top), []
+    assert sorted(tree.ids) == list(range(900)) and (tree.vectors == points[tree.ids]).all()
 
     def walk(at):
         pivot, radius, to_parent, children, entries, to_pivot = tree.nodes[at]
-        below = np.concatenate([walk(c) for c in children]) if children is not None else entries
+        below = np.concatenate([walk(c) for c in children]) if children is not None else np.arange(*entries)
         d = space.distances(pivot, below)
         assert d.max() <= radius + 1e-9
         for c in children or []:
             assert abs(space.distances(pivot, np.array([tree.nodes[c][0]]))[0] - tree.nodes[c][2]) < 1e-9
         if children is None:
             assert np.allclose(d, to_pivot)
-            seen.extend(entries.tolist())
+            seen.extend(below.tolist())
         return below
 
     walk(0)
