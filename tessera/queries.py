@@ -13,6 +13,11 @@ from tessera.functions.stem import stem_udf
 from tessera.operators import postings as index_ops
 from tessera.operators import versioned as kv
 from tessera.plans.search import search
+from tessera.schema import StoreOptions
+from tessera.sources import sorted_files
+from tessera.sources.index import Index
+from tessera.sources.scratch import scratch
+from tessera.sources.store import Store
 
 #: An index language without stop words or stemming, which SQL can check over all documents.
 PLAIN = "fr"
@@ -28,23 +33,30 @@ SEARCHES = {
     "search_missing_term": "zzzzqq",
     "search_not_missing": "NOT zzzzqq",
 }
-HAS = "doc_id IN (SELECT doc_id FROM p WHERE term = '{}')"
-DE, LA, UN, NONE = (HAS.format(w) for w in ("de", "la", "un", "zzzzqq"))
 SEARCH_SQL = {
-    "search_term": DE,
-    "search_and": f"{DE} AND {LA}",
-    "search_or": f"{DE} OR {LA}",
-    "search_not": f"NOT {DE}",
-    "search_and_not": f"{DE} AND NOT {LA}",
-    "search_nested": f"({DE} AND NOT {LA}) OR NOT {UN}",
-    "search_precedence": f"{UN} OR ({DE} AND NOT {LA})",
-    "search_case_insensitive_ops": f"{DE} AND NOT {LA}",
-    "search_missing_term": NONE,
-    "search_not_missing": f"NOT {NONE}",
+    "search_term": "de",
+    "search_and": "de AND la",
+    "search_or": "de OR la",
+    "search_not": "NOT de",
+    "search_and_not": "de AND NOT la",
+    "search_nested": "(de AND NOT la) OR NOT un",
+    "search_precedence": "un OR (de AND NOT la)",
+    "search_case_insensitive_ops": "de AND NOT la",
+    "search_missing_term": "missing",
+    "search_not_missing": "NOT missing",
 }
 TOKENS = r"regexp_extract_all(text, '[\p{L}\p{N}]+')"
 P = f"""WITH p AS (SELECT doc_id, unnest(list_distinct(list_transform({TOKENS}, lambda w: lower(w)))) AS term
   FROM documents), d AS (SELECT DISTINCT doc_id FROM documents) """
+
+
+def _terms_sql(**words: list[str]) -> str:
+    """One row a document: whether it has one of the words, by name."""
+    has = ", ".join(f"coalesce(bool_or(list_has_any(terms, {w!r})), false) AS {name}" for name, w in words.items())
+    return f"WITH h AS (SELECT doc_id, {has} FROM (SELECT doc_id, list_transform({TOKENS}, lambda w: lower(w)) AS terms FROM documents) GROUP BY doc_id) "
+
+
+H = _terms_sql(de=["de"], la=["la"], un=["un"], missing=["zzzzqq"])
 EN_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS["en"])
 
 
@@ -86,6 +98,9 @@ def _shown(rows: DataFrame) -> DataFrame:
 VERSIONS_SQL = """WITH v AS (SELECT CAST(user_id AS VARCHAR) AS key, value, event_type = 'error' AS tombstone, event_id AS seq,
   event_id % 4 AS run_id FROM events), top AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) """
 LATEST_SQL = VERSIONS_SQL + "SELECT key, value FROM top WHERE NOT tombstone"
+KEYS_A_FILTER = 1 << 16
+PARTS = ("part-00000100", "part-00000120")
+PART_KEYS = [f"part-{i:08d}" for i in (*range(1, 2000, 97), 0, 99999999)]
 MULTI = [str(i) for i in range(0, 60, 3)]
 
 
@@ -116,38 +131,96 @@ def _part_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bloom(spark: SparkSession, d: str) -> DataFrame:
-    shards = 8
-    keys = _part_keys(spark, d).select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "key")
-    dealt = keys.repartition(shards, "shard")
-    filters = dealt.mapInPandas(bloom.build(keys.count() * 2, 0.01, shards), "shard int, bloom binary")
-    return dealt.join(filters, "shard").select("key", bloom.contains_udf()("bloom", "key").alias("found"))
+    rows = _part_keys(spark, d).select("key")
+    shards = max(1, -(-rows.count() // KEYS_A_FILTER))
+    keys = rows.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "key")
+    return bloom.probe(keys, bloom.build(keys, 0.01, shards, KEYS_A_FILTER))
 
 
-STEM_DOCS = {
-    "en": ["The quick brown fox jumps over the lazy dog", "A quick brown dog outpaces a quick fox", "Lazy dogs sleep all day", "Foxes are quick and clever"],
-    "ru": ["Быстрая коричневая лиса прыгает через ленивую собаку", "Быстрая коричневая собака обгоняет быструю лису", "Ленивые собаки спят весь день", "Лисы быстры и хитры"],
-}
-STEM_QUERIES = {
-    "en": {"quick": [1, 2, 4], "fox": [1, 2, 4], "dog": [1, 2, 3], "lazy": [1, 3], "quick AND fox": [1, 2, 4], "quick OR lazy": [1, 2, 3, 4], "quick AND NOT dog": [4], "fox AND dog": [1, 2], "the": []},
-    "ru": {"быстрый": [1, 2, 4], "лиса": [1, 2, 4], "собака": [1, 2, 3], "ленивый": [1, 3], "быстрый AND лиса": [1, 2, 4], "быстрый OR ленивый": [1, 2, 3, 4], "быстрый AND NOT собака": [4], "лиса AND собака": [1, 2], "и": [], "день": [3]},
-}
+def _writes(spark: SparkSession, d: str) -> DataFrame:
+    return _versions(spark, d).select("key", "value", "seq", "tombstone")
 
 
-def stem_docs(spark: SparkSession, lang: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(STEM_DOCS[lang], 1)), "doc_id long, text string")
+def _filled(spark: SparkSession, d: str) -> Store:
+    """A new store that took the events in four batches, a run each."""
+    store = Store(spark, scratch(spark), StoreOptions(max_runs=8))
+    rows = _writes(spark, d)
+    for i in range(4):
+        store.write(rows.where(F.col("seq") % 4 == i))
+        store.flush()
+    return store
 
 
-def _search_stemmed(lang: str):
-    def run(spark: SparkSession, _: str) -> DataFrame:
-        docs = stem_docs(spark, lang)
-        rows = index_ops.postings(docs, lang)
-        found = [search(rows, docs, q, lang).select(F.lit(q).alias("query"), "doc_id") for q in STEM_QUERIES[lang]]
-        out = found[0]
-        for f in found[1:]:
-            out = out.union(f)
-        return out
+def _store_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """Six batches one after the other in time, with merges on the way: a merge may drop a deletion only because later writes are newer."""
+    store = Store(spark, scratch(spark), StoreOptions(max_runs=2))
+    rows = _writes(spark, d)
+    last = rows.agg(F.max("seq")).first()[0] or 0
+    for i in range(6):
+        store.write(rows.where(F.floor(F.col("seq") * 6 / (last + 1)) == i))
+        store.flush()
+    return _shown(_reopened(store).latest())
+
+
+def _reopened(store: Store) -> Store:
+    return Store(store.spark, store.path)
+
+
+def _store_compact(spark: SparkSession, d: str) -> DataFrame:
+    store = _filled(spark, d)
+    store.compact()
+    return _shown(_reopened(store).latest())
 
-    return run
+
+def _store_pending(spark: SparkSession, d: str) -> Store:
+    """Three of four batches in one run, the rest pending."""
+    store = Store(spark, scratch(spark))
+    store.write(_writes(spark, d).where(F.col("seq") % 4 != 3))
+    store.flush()
+    store.write(_writes(spark, d).where(F.col("seq") % 4 == 3))
+    return store
+
+
+def _store_epochs(spark: SparkSession, d: str) -> DataFrame:
+    """Odd events first; even ones after a reopening, with sequence numbers below all others."""
+    first = Store(spark, scratch(spark))
+    first.write(_writes(spark, d).where(F.col("seq") % 2 == 1))
+    first.close()
+    again = _reopened(first)
+    again.write(_writes(spark, d).where(F.col("seq") % 2 == 0).withColumn("seq", F.col("seq") - (1 << 40)))
+    again.close()
+    return _shown(_reopened(again).latest())
+
+
+def _store_all_values(spark: SparkSession, d: str) -> DataFrame:
+    rows = kv.all_values(_reopened(_filled(spark, d)).runs()).select("key", F.posexplode("chunks").alias("at", "value"))
+    return _shown(rows.withColumn("key", F.concat("key", F.lit("/"), "at")))
+
+
+def _index(spark: SparkSession, d: str, compact: bool = False) -> Index:
+    """The index of all documents, built in two batches and opened again."""
+    index = Index(spark, scratch(spark), PLAIN)
+    for i in range(2):
+        index.add(_docs(spark, d).where(F.col("doc_id") % 2 == i))
+        index.flush()
+    if compact:
+        index.store.compact()
+    return Index(spark, index.store.path)
+
+
+def _part_files(spark: SparkSession, d: str) -> DataFrame:
+    """All parts as single-file tables (content, age)."""
+    return sorted_files.pack_files(kv.put(_part_keys(spark, d)), 4).select("content", F.col("file").cast("long").alias("age"))
+
+
+def _part_shown(rows: DataFrame) -> DataFrame:
+    return rows.select("key", F.col("value").cast("string").alias("value"))
+
+
+def _sets_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of two halves of the documents that overlap, as serialised sets, united."""
+    one, two = (sorted_files.pack_sets(index_ops.postings(_docs(spark, d).where(part), PLAIN)) for part in (F.col("doc_id") % 3 < 2, F.col("doc_id") % 3 > 0))
+    return sorted_files.unpack_sets(sorted_files.merge_packed(one, two))
 
 
 #: Searches of whole tables under a stemmed index; SQL has no such stemmer, tests hold them against plain Python.
@@ -170,10 +243,27 @@ def _search_stemmed_table(lang: str):
     return run
 
 
+#: The words of TABLE_QUERIES under their stems: SQL has no stemmer, so its twin names the inflected forms.
+FORMS = {
+    "licens": ["license", "licenses", "licensed", "licensing", "licens"],
+    "work": ["work", "works", "worked", "working"],
+    "right": ["right", "rights", "righted", "righting"],
+    "fox": ["fox", "foxes", "foxed"],
+    "reserv": ["reserve", "reserves", "reserved", "reserving", "reserv"],
+    "лис": ["лиса", "лисы", "лису", "лисой", "лисе", "лис"],
+    "быстр": ["быстрый", "быстрая", "быструю", "быстры", "быстро", "быстр"],
+    "license": ["license"],
+}
+STEMMED_SQL = {
+    "en": ["licens", "licens AND NOT work", '("right" OR fox) AND NOT reserv', "NOT licens", "false"],
+    "ru": ["license", "de AND NOT лис", "быстр OR la", "NOT быстр", "false"],
+}
+
+
 def _stemmed_sql(lang: str) -> str:
-    # Golden values: SQL has no such stemmer.
-    rows = ", ".join(f"('{q}', {i})" for q, ids in STEM_QUERIES[lang].items() for i in ids)
-    return f"SELECT query, CAST(doc_id AS BIGINT) AS doc_id FROM (VALUES {rows}) AS t(query, doc_id)"
+    names = {f'"{k}"': v for k, v in FORMS.items()} | {"de": ["de"], "la": ["la"]}
+    cases = " UNION ALL ".join(f"SELECT '{q}' AS query, doc_id FROM h WHERE {where}" for q, where in zip(TABLE_QUERIES[lang], STEMMED_SQL[lang]))
+    return _terms_sql(**names) + cases
 
 
 def _stem_vocab(spark: SparkSession, d: str) -> DataFrame:
@@ -192,8 +282,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_not_stopword": _search("NOT the", lang="en"),
         "search_set_backend": _search(SEARCHES["search_nested"], "sets"),
         "search_bitmap_backend": _search(SEARCHES["search_nested"], "bitmaps"),
-        "search_stemmed_en": _search_stemmed("en"),
-        "search_stemmed_ru": _search_stemmed("ru"),
         "search_stemmed_table_en": _search_stemmed_table("en"),
         "search_stemmed_table_ru": _search_stemmed_table("ru"),
         "stem_vocab": _stem_vocab,
@@ -216,19 +304,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "range_scan_keys": lambda s, d: kv.range_scan(kv.put(_part_keys(s, d)), "part-00000100", "part-00000120").select("key", F.col("value").cast("string").alias("value")),
         "seek_ge": lambda s, d: kv.seek(kv.put(_part_keys(s, d)), "part-00000150").select("key", F.col("value").cast("string").alias("value")),
         "bloom_no_false_negative": _bloom,
+        "store_get": lambda s, d: _shown(_reopened(_filled(s, d)).get("7")),
+        "store_range": lambda s, d: _shown(_reopened(_filled(s, d)).range("10", "13")),
+        "store_all_values": _store_all_values,
+        "store_compact": _store_compact,
+        "store_tiered_merges": _store_tiers,
+        "store_pending_over_runs": lambda s, d: _shown(_store_pending(s, d).latest()),
+        "store_pending_dump": lambda s, d: _store_pending(s, d).pending_dump().select("key", "seq", "tombstone"),
+        "store_reopened_epochs": _store_epochs,
+        "index_search": lambda s, d: _index(s, d).search(SEARCHES["search_nested"]),
+        "index_search_and": lambda s, d: _index(s, d, compact=True).search(SEARCHES["search_and"], backend="sets"),
+        "index_universe": lambda s, d: _index(s, d).docs,
+        "index_postings": lambda s, d: _index(s, d).terms.distinct(),
+        "index_doc_freq_compacted": lambda s, d: index_ops.doc_freq(_index(s, d, compact=True).terms),
+        "sorted_file_read": lambda s, d: _part_shown(kv.latest(sorted_files.unpack_files(_part_files(s, d)))),
+        "sorted_file_range": lambda s, d: _part_shown(kv.range_scan(sorted_files.unpack_files(_part_files(s, d), *PARTS), *PARTS)),
+        "sorted_file_get": lambda s, d: _part_shown(kv.latest(sorted_files.lookup(_part_files(s, d), PART_KEYS))),
+        "bitmap_or_merge": _sets_merge,
     }
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {name: f"{P}SELECT doc_id FROM d WHERE {where}" for name, where in SEARCH_SQL.items()}
+    out = {name: f"{H}SELECT doc_id FROM h WHERE {where}" for name, where in SEARCH_SQL.items()}
     out["search_set_backend"] = out["search_bitmap_backend"] = out["search_nested"]
     part = "SELECT 'part-' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS key, p_name AS value FROM part"
     out |= {
         "search_stopword": "SELECT doc_id FROM documents WHERE false",
         "search_not_stopword": "SELECT DISTINCT doc_id FROM documents",
-        "search_stemmed_en": _stemmed_sql("en"),
-        "search_stemmed_ru": _stemmed_sql("ru"),
+        "search_stemmed_table_en": _stemmed_sql("en"),
+        "search_stemmed_table_ru": _stemmed_sql("ru"),
         "tokenize_docs": f"SELECT doc_id, CAST(pos - 1 AS INTEGER) AS pos, token FROM (SELECT doc_id, unnest({TOKENS}) AS token, generate_subscripts({TOKENS}, 1) AS pos FROM documents)",
         "normalize_terms": f"SELECT doc_id, term FROM (SELECT doc_id, unnest(list_distinct(list_transform({TOKENS}, lambda w: lower(w)))) AS term FROM documents) WHERE term NOT IN ({EN_STOP})",
         "postings": f"{P}SELECT DISTINCT term, doc_id FROM p",
@@ -250,8 +355,20 @@ def oracle_sql() -> dict[str, str]:
         "range_scan_keys": f"SELECT * FROM ({part}) WHERE key BETWEEN 'part-00000100' AND 'part-00000120'",
         "seek_ge": f"SELECT * FROM ({part}) WHERE key >= 'part-00000150'",
         "bloom_no_false_negative": f"SELECT key, true AS found FROM ({part})",
+        "store_tiered_merges": LATEST_SQL,
+        "store_pending_dump": f"{VERSIONS_SQL}SELECT key, seq, tombstone FROM v WHERE seq % 4 = 3 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1",
+        "store_reopened_epochs": f"{VERSIONS_SQL}SELECT key, value FROM (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq % 2, seq DESC) = 1) WHERE NOT tombstone",
+        "sorted_file_read": part,
+        "sorted_file_range": f"SELECT * FROM ({part}) WHERE key BETWEEN '{PARTS[0]}' AND '{PARTS[1]}'",
+        "sorted_file_get": f"SELECT * FROM ({part}) WHERE key IN ({', '.join(f"'{k}'" for k in PART_KEYS)})",
     }
+    same = {
+        "store_get": "kv_get", "store_range": "kv_range", "store_all_values": "kv_all_values", "store_compact": "kv_latest", "store_pending_over_runs": "kv_latest",
+        "index_search": "search_nested", "index_search_and": "search_and", "index_universe": "universe", "index_postings": "postings",
+        "index_doc_freq_compacted": "doc_freq", "bitmap_or_merge": "postings",
+    }
+    out |= {name: out[of] for name, of in same.items()}
     return out
 
 
-__all__ = ["oracle_sql", "queries", "stem_docs", "table"]
+__all__ = ["oracle_sql", "queries", "table"]

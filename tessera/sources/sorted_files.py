@@ -19,6 +19,7 @@ from itertools import takewhile
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -264,6 +265,38 @@ def merge_sets(a: bytes, b: bytes) -> bytes:
     return pack_set([*set_members(a), *set_members(b)])
 
 
+def pack_sets(postings: DataFrame) -> DataFrame:
+    """(term, high, value) of (term, doc_id): a term's ids that share their upper 16 bits as a serialised set, 65,536 at most."""
+
+    @F.pandas_udf("binary")
+    def pack(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda x: pack_set(int(i) for i in x))
+
+    high = F.shiftright("doc_id", 16).alias("high")
+    return postings.groupBy("term", high).agg(F.collect_set("doc_id").alias("ids")).select("term", "high", pack("ids").alias("value"))
+
+
+def merge_packed(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The two tables of `pack_sets` as one: sets of both are united; a malformed one fails the job."""
+
+    @F.pandas_udf("binary")
+    def either(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([merge_sets(p, q) if p is not None and q is not None else p if q is None else q for p, q in zip(x, y)])
+
+    both = a.withColumnRenamed("value", "one").join(b.withColumnRenamed("value", "other"), ["term", "high"], "full")
+    return both.select("term", "high", either("one", "other").alias("value"))
+
+
+def unpack_sets(sets: DataFrame) -> DataFrame:
+    """(term, doc_id) of (term, value)."""
+
+    @F.pandas_udf("array<long>")
+    def members(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: set_members(bytes(v)))
+
+    return sets.select("term", F.explode(members("value")).alias("doc_id"))
+
+
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
     """(term, doc_id) of an index kept in such files: the union of a term's sets over all files."""
 

@@ -5,7 +5,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera import queries as base
 from tessera.functions import text
 from tessera.functions.bitmap import to_bitmaps, to_ids
 from tessera.functions.bloom import Bloom, dimensions
@@ -17,6 +16,7 @@ from tessera.schema import MAX_DOC_ID, UNION, StoreOptions
 from tessera.sources.index import Index
 from tessera.sources import store
 from tessera.sources.store import CommitConflict, Store
+from tests.sentences import QUERIES, found, sentences
 
 # Words, their language and what normalisation makes of them.
 NORMAL = [
@@ -71,7 +71,7 @@ ERRORS = {
 
 @pytest.fixture(scope="module")
 def english(spark):
-    docs = base.stem_docs(spark, "en")
+    docs = sentences(spark, "en")
     return P.postings(docs, "en").cache(), docs.cache()
 
 
@@ -103,9 +103,8 @@ def test_strict(english):
 
 @pytest.mark.parametrize("lang", ["en", "ru"])
 def test_stemmed_suites(spark, lang):
-    rows = base.queries()[f"search_stemmed_{lang}"](spark, "").collect()
-    for q, ids in base.STEM_QUERIES[lang].items():
-        assert sorted(r.doc_id for r in rows if r["query"] == q) == ids, q
+    for q, ids in QUERIES[lang].items():
+        assert found(spark, lang, q) == ids, q
 
 
 def kv_rows(spark, rows):

@@ -45,7 +45,7 @@ def test_columns_are_pruned(spark):
 
 def test_no_python_outside_stemming_and_sketches(spark):
     for name, query in base.queries().items():
-        if "stem" not in name and name != "bloom_no_false_negative":
+        if "stem" not in name and "sorted_file" not in name and name not in ("bloom_no_false_negative", "bitmap_or_merge"):
             assert not any(x in plan(query(spark, SF)) for x in ("ArrowEvalPython", "MapInPandas", "BatchEvalPython", "CartesianProduct")), name
 
 

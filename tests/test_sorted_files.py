@@ -62,6 +62,10 @@ def test_sets_and_postings(spark, tmp_path):
     assert S.set_members(runs) == [65536 + x for x in (3, 4, 5, 10, 11, 12)]
     with pytest.raises(S.CorruptFile):
         S.set_members(b"abcd")
+    assert S.set_members(S.merge_sets(S.pack_set([1, 70000]), S.pack_set([2, 1]))) == [1, 2, 70000]
+    for pair in ((b"abcd", S.pack_set([1])), (S.pack_set([1]), b"")):
+        with pytest.raises(S.CorruptFile):
+            S.merge_sets(*pair)
     for i, ids in enumerate(([1, 2], [3, 2])):
         (tmp_path / f"l0-{i:06d}.sst").write_bytes(S.pack_file([S.Entry("apple", S.pack_set(ids), False, 1)]))
     assert sorted(map(tuple, S.read_postings(spark, str(tmp_path)).collect())) == [("apple", 1), ("apple", 2), ("apple", 3)]

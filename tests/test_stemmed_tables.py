@@ -6,6 +6,7 @@ import pytest
 
 from tessera import queries as base
 from tessera.functions import text
+from tests.sentences import sentences
 
 SF = "/root/testdata/sf0.001"
 PLAIN = {
@@ -16,7 +17,7 @@ PLAIN = {
 
 @pytest.mark.parametrize("lang", ["en", "ru"])
 def test_against_plain_python(spark, lang, tmp_path):
-    docs = base.table(spark, SF, "documents").select("doc_id", "text").union(base.stem_docs(spark, lang).selectExpr("doc_id + 1000000000", "text"))
+    docs = base.table(spark, SF, "documents").select("doc_id", "text").union(sentences(spark, lang).selectExpr("doc_id + 1000000000", "text"))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     norm = {}
     want = []
