@@ -6,9 +6,10 @@ text into spans. A document's language is the one with most letters, its score t
 scripts that no language has are part of the whole but of no share. A share says nothing about texts
 in a language that wasn't learned: `keep_identified` also asks how well the trigrams fit.
 
-The model is fitted on at most `rows_per_lang` (in expectation) labelled rows of each of at most
-`max_langs` languages, picked by a hash of the id, and has `max_langs` x 32,768 numbers at most: that
-bounds what is sent to the executors. Predictions read nothing but the text.
+The model is fitted on at most `rows_per_lang` (in expectation) labelled rows of each language, picked by
+a hash of the id. Every value of lang is learned; with more than 64 languages the trigrams are hashed into
+fewer buckets (1,024 at least), so that the model that is sent to the executors keeps to about two
+million numbers. Predictions read nothing but the text.
 """
 
 from __future__ import annotations
@@ -39,19 +40,19 @@ SCRIPT_RANGES = [
 STARTS = [a for a, _ in SCRIPT_RANGES]
 SCRIPTS = list(dict.fromkeys(s for _, s in SCRIPT_RANGES))
 
-BUCKETS = 1 << 15
-ROWS_PER_LANG, MAX_LANGS, PENALTY, SCRIPT_SHARE = 2000, 64, 8.0, 0.005
+MOST_BUCKETS, LEAST_BUCKETS, NUMBERS = 1 << 15, 1 << 10, 1 << 21
+ROWS_PER_LANG, PENALTY, SCRIPT_SHARE = 2000, 8.0, 0.005
 SPREADS = 2.0  # a text's mean trigram score may lie so many standard deviations of single trigrams under the language's mean, short texts' more
 IMPOSSIBLE = -60.0
 WORD = re.compile(r"[^\W\d_]+")
-PIECE = 1 << 20  # characters of a text labelled at once; a span doesn't cross from one piece to the next
+PIECE = 1 << 20  # characters of a text whose words are held at once
 CACHE = 200_000  # words a worker remembers
 
 
 @dataclass(frozen=True)
 class Model:
     langs: tuple[str, ...]
-    logp: np.ndarray  # (BUCKETS, languages)
+    logp: np.ndarray  # (buckets, languages)
     scripts: np.ndarray  # (scripts, languages): whether the language is written in it
     limits: np.ndarray  # (2, languages): least mean trigram score of a long text in the language; what it falls by for one of one trigram
 
@@ -65,8 +66,17 @@ def grams(word: str) -> list[str]:
     return [padded[i : i + 3] for i in range(len(padded) - 2)]
 
 
-def bucket(gram: str) -> int:
-    return zlib.crc32(gram.encode()) % BUCKETS
+def buckets_for(langs: int) -> int:
+    return max(LEAST_BUCKETS, min(MOST_BUCKETS, 1 << (NUMBERS // max(1, langs)).bit_length() - 1))
+
+
+def bucket(gram: str, buckets: int = MOST_BUCKETS) -> int:
+    return zlib.crc32(gram.encode()) % buckets
+
+
+def lower(words: list[str]) -> list[str]:
+    """Words are found first and lower-cased then, so that spans, which need the text as it is, see the same words."""
+    return "\n".join(words).lower().split("\n") if words else []
 
 
 def words_of(text: str) -> Iterator[list[str]]:
@@ -78,7 +88,7 @@ def words_of(text: str) -> Iterator[list[str]]:
             end = m.start()
         elif end < len(text):
             end = len(text)
-        yield WORD.findall(text[at:end].lower())
+        yield lower(WORD.findall(text, at, end))
         at = end
 
 
@@ -86,17 +96,18 @@ def is_learned(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3 != 1
 
 
-def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, max_langs: int = MAX_LANGS, smoothing: float = 0.5) -> Model:
+def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, smoothing: float = 0.5) -> Model:
     """A model from the labelled rows of (doc_id, text, lang) whose crc32(doc_id) mod 3 isn't 1.
 
-    Languages beyond `max_langs` (fewest rows first) aren't learned. Trigram counts are summed on the
-    executors; the driver gets a bounded number of sums.
+    Trigram counts are summed on the executors; the driver gets as many sums as the model has numbers.
+    Null texts and langs teach nothing; without labelled rows the model has no language.
     """
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & is_learned(F.col("doc_id"))).select("doc_id", "text", "lang")
-    sizes = learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    sizes = learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
     langs = tuple(r.lang for r in sizes)
+    buckets = buckets_for(len(langs))
     if not langs:
-        return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool), np.zeros((2, 0)))
+        return Model((), np.zeros((buckets, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool), np.zeros((2, 0)))
     span = 1 << 20
     limits = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(span, -(-span * rows_per_lang // r.n)))])
     sample = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < limits[F.col("lang")]).select("lang", F.col("text").cast("string").alias("text"))
@@ -108,22 +119,22 @@ def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, max_langs: int = MA
                 own = sums.setdefault(lang, Counter())
                 for words in words_of(text.as_py()):
                     for w, n in Counter(words).items():
-                        own[BUCKETS + script(w)] += n * len(w)
+                        own[buckets + script(w)] += n * len(w)
                         for g in grams(w):
-                            own[bucket(g)] += n
+                            own[bucket(g, buckets)] += n
         rows = [(lang, k, n) for lang, own in sums.items() for k, n in own.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["lang", "k", "n"])
 
     total = sample.mapInArrow(count, "lang string, k int, n long").groupBy("lang", "k").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((BUCKETS + len(SCRIPTS), len(langs)))
-    counts[total["k"], total["lang"].map(langs.index)] = total["n"]
-    seen = counts[:BUCKETS] + smoothing
-    shares = counts[BUCKETS:] / np.maximum(1, counts[BUCKETS:].sum(0))
+    counts = np.zeros((buckets + len(SCRIPTS), len(langs)))
+    counts[total["k"], total["lang"].map({lang: i for i, lang in enumerate(langs)})] = total["n"]
+    seen = counts[:buckets] + smoothing
+    shares = counts[buckets:] / np.maximum(1, counts[buckets:].sum(0))
     # What the labelled rows' trigrams score, each left out of the counts that score it.
-    n = np.maximum(1, counts[:BUCKETS].sum(0))
+    n = np.maximum(1, counts[:buckets].sum(0))
     left_out = np.log(np.maximum(seen - 1, smoothing) / seen.sum(0))
-    mean = (counts[:BUCKETS] * left_out).sum(0) / n
-    spread = np.sqrt((counts[:BUCKETS] * (left_out - mean) ** 2).sum(0) / n)
+    mean = (counts[:buckets] * left_out).sum(0) / n
+    spread = np.sqrt((counts[:buckets] * (left_out - mean) ** 2).sum(0) / n)
     return Model(langs, np.log(seen / seen.sum(0)).astype(np.float32), shares >= SCRIPT_SHARE, np.stack([mean - SPREADS * spread, 2 * SPREADS * spread]))
 
 
@@ -161,7 +172,7 @@ class Scorer:
             for g in grams(w):
                 b = known.get(g)
                 if b is None:
-                    b = known[g] = bucket(g)
+                    b = known[g] = bucket(g, len(self.model.logp))
                 flat.append(b)
         scores = np.add.reduceat(self.model.logp[flat], starts, axis=0)
         letters = np.array([len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in words], np.int64)
@@ -218,6 +229,48 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = PENALTY) -
     return labels[place]
 
 
+class Path:
+    """Viterbi over one text that comes in pieces, with the labels that the whole text would get.
+
+    Where the best label leads every other by more than the penalty, all paths come through it: what lies
+    before is settled, and only what follows is held for the next piece.
+    """
+
+    def __init__(self, penalty: float = PENALTY):
+        self.penalty, self.start, self.held = np.float32(penalty), None, None
+
+    def add(self, scores: np.ndarray, last: bool = False) -> np.ndarray:
+        """The labels that are settled now, following those of the calls before; all that are left if it is the last piece."""
+        scores = scores if self.held is None else np.concatenate([self.held, scores])
+        n, k = scores.shape
+        if not n:
+            return np.zeros(0, np.int16)
+        # A label's score is that of its best path less that of the best of all, before and after a word.
+        now = np.zeros(k, np.float32) if self.start is None else self.start
+        came, leads = np.empty((n, k), np.int16), np.full(n, -1, np.int16)
+        own = np.arange(k, dtype=np.int16)
+        for t in range(n):
+            top = now.max()
+            came[t] = np.where(now >= top - self.penalty, own, now.argmax())
+            now = np.maximum(now, top - self.penalty) + scores[t]
+            now -= now.max()
+            if (now < -self.penalty).sum() == k - 1:
+                leads[t] = now.argmax()
+        ends = n - 1 if last else int(np.flatnonzero(leads >= 0)[-1]) if (leads >= 0).any() else -1
+        if ends < 0:
+            self.held = scores
+            return np.zeros(0, np.int16)
+        labels = np.empty(ends + 1, np.int16)
+        labels[ends] = now.argmax() if last else leads[ends]
+        for t in range(ends, 0, -1):
+            labels[t - 1] = came[t][labels[t]]
+        if not last:
+            # The words that follow start from the label that leads.
+            self.start = np.where(own == leads[ends], np.float32(0), -2 * self.penalty - 1).astype(np.float32)
+            self.held = scores[ends + 1 :]
+        return labels
+
+
 def _votes(texts: list[str | None], scorer: Scorer, penalty: float) -> tuple[np.ndarray, ...]:
     """For each text the letters by language, the sum of word scores by language, all letters, and by language the sum and number of its own words' trigram scores."""
     k = len(scorer.model.langs)
@@ -226,29 +279,52 @@ def _votes(texts: list[str | None], scorer: Scorer, penalty: float) -> tuple[np.
     held: list[str] = []
     lengths: list[tuple[int, int]] = []
 
+    def count(doc: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> None:
+        """Take in words, of a scorer's ids, of texts `doc` under their labels."""
+        scores, letters = scorer.scores[ids], scorer.letters[ids]
+        cell = doc * k + labels
+        known = scorer.known[ids] & (letters > 0)
+        all_letters[:] += np.bincount(doc, letters, len(texts))
+        for to, x in ((votes, letters), (raw, scorer.raw[ids, labels]), (grams, scorer.grams[ids])):
+            to += np.bincount(cell, x * known, votes.size).reshape(votes.shape)
+        for j in range(k):
+            sums[:, j] += np.bincount(doc, scores[:, j], len(texts))
+
     def close() -> None:
         if held:
             ids = scorer(held)
             doc = np.repeat([i for i, _ in lengths], [n for _, n in lengths])
-            scores, letters = scorer.scores[ids], scorer.letters[ids]
-            labels = viterbi(scores, np.array([n for _, n in lengths]), penalty)
-            cell = doc * k + labels
-            known = scorer.known[ids] & (letters > 0)
-            all_letters[:] += np.bincount(doc, letters, len(texts))
-            for to, x in ((votes, letters), (raw, scorer.raw[ids, labels]), (grams, scorer.grams[ids])):
-                to += np.bincount(cell, x * known, votes.size).reshape(votes.shape)
-            for j in range(k):
-                sums[:, j] += np.bincount(doc, scores[:, j], len(texts))
+            count(doc, ids, viterbi(scorer.scores[ids], np.array([n for _, n in lengths]), penalty))
         held.clear()
         lengths.clear()
 
+    def long(i: int, text: str) -> None:
+        """A text of several pieces; words whose labels aren't settled yet wait as words, for the scorer may forget."""
+        path, waiting = Path(penalty), []
+        for words in words_of(text):
+            if words:
+                waiting += words
+                ids = scorer(words)
+                settle(i, path.add(scorer.scores[ids]), waiting)
+        settle(i, path.add(np.zeros((0, k), np.float32), last=True), waiting)
+
+    def settle(i: int, labels: np.ndarray, waiting: list[str]) -> None:
+        n = len(labels)
+        if n:
+            ids = scorer(waiting[:n])
+            count(np.full(n, i), ids, labels)
+            del waiting[:n]
+
     for i, text in enumerate(texts):
+        if text and len(text) > PIECE:
+            long(i, text)
+            continue
         for words in words_of(text or ""):
             if words:
                 held.extend(words)
                 lengths.append((i, len(words)))
-            if len(held) > 300_000:
-                close()
+        if len(held) > 300_000:
+            close()
     close()
     return votes, sums, all_letters, raw, grams
 
@@ -291,7 +367,8 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFra
 def spans(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
     """(doc_id, start, end, lang): maximal runs of words in one language, as character offsets into the text.
 
-    Texts without letters have no spans.
+    Null texts and those without letters have no spans, nor has any text under a model without languages. A
+    span ends before another language's first word; digits and symbols between words belong to none.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +379,7 @@ def spans(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
                 found = [m for m in WORD.finditer(text.as_py() or "") if any(map(str.isalpha, m[0]))] if model.langs else []
                 if not found:
                     continue
-                ids = scorer([m[0].lower() for m in found])
+                ids = scorer(lower([m[0] for m in found]))
                 labels = viterbi(scorer.scores[ids], np.array([len(found)]), penalty)
                 cuts = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(found)]
                 out += [(doc_id, found[a].start(), found[b - 1].end(), model.langs[labels[a]]) for a, b in zip(cuts, cuts[1:])]
@@ -316,8 +393,10 @@ def spans(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
 def keep_identified(docs: DataFrame, model: Model, least: float = 1 / 3) -> DataFrame:
     """The documents with a language that has at least a third of their letters; columns are those of `docs`.
 
-    Texts that mix languages stay; those without a letter, without a leading language, or whose words in
-    that language score below its limit (texts in a language that wasn't learned), go.
+    Texts that mix languages stay; those without a letter (null and empty ones too), without a leading
+    language, or whose words in that language score below its limit (texts in a language that wasn't
+    learned), go. Repeated rows are judged each; an empty table stays empty; under a model without
+    languages nothing stays.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

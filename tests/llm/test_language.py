@@ -1,6 +1,9 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import language as L
@@ -84,6 +87,63 @@ def test_pieces_cover_long_texts(monkeypatch):
     assert [w for p in L.words_of(text) for w in p] == whole
 
 
+def test_paths_in_pieces_are_those_of_the_whole():
+    rng = np.random.default_rng(3)
+    for n, spread in ((1, 5), (40, 3), (200, 12), (300, 30)):
+        scores = (rng.integers(-spread, 1, (n, 4)) * 1.0).astype(np.float32)
+        want = L.viterbi(scores, np.array([n]), 9.0).tolist()
+        path, got = L.Path(9.0), []
+        for part in np.array_split(scores, rng.integers(1, 12)):
+            got += path.add(part).tolist()
+        assert got == want[: len(got)]
+        assert got + path.add(scores[:0], last=True).tolist() == want
+
+
+def test_predictions_and_scores_against_plain_python(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 120").select("doc_id", "text")
+    model = L.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    texts[-1], texts[-2] = "".join(texts[i][:400] + " 这是中文 " for i in range(40)), "İstanbul ΟΔΟΣ " * 30
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    scorer, want = L.Scorer(model), {}
+    for i, text in texts.items():
+        words = [m[0].lower() for m in L.WORD.finditer(text)]
+        ids = scorer(words)
+        letters, known = scorer.letters[ids], scorer.known[ids]
+        votes = np.zeros(len(model.langs))
+        for label, n, k in zip(best_path(scorer.scores[ids], L.PENALTY) if words else [], letters, known):
+            votes[label] += n * k
+        best = max(range(len(votes)), key=lambda j: (votes[j], scorer.scores[ids][:, j].sum(), -j)) if letters.sum() else -1
+        want[i] = (model.langs[best], votes[best] / letters.sum()) if best >= 0 else ("und", 0.0)
+    # Predicted here, as workers don't see another size of pieces.
+    judged = lambda: {i: (p, round(s, 9)) for i, p, s in zip(texts, *L._judged(pa.array(texts.values()), L.Scorer(model), L.PENALTY)[:2])}
+    whole = judged()
+    assert {i: (model.langs[p] if p >= 0 else "und", s) for i, (p, s) in whole.items()} == {i: (p, round(float(s), 9)) for i, (p, s) in want.items()}
+    assert {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in L.identify(frame, model).collect()} == {i: (p, round(float(s), 9)) for i, (p, s) in want.items()}
+    monkeypatch.setattr(L, "PIECE", 300)
+    assert judged() == whole
+    # Spans are the same paths.
+    letters = {}
+    for r in L.spans(frame, model).collect():
+        letters.setdefault(r.doc_id, {}).setdefault(r.lang, []).append(texts[r.doc_id][r.start : r.end])
+    for i in (*range(20), -1):
+        by = {g: sum(sum(map(str.isalpha, w)) for t in parts for w in L.WORD.findall(t) if L.script(w.lower()) != L.SCRIPTS.index("Han")) for g, parts in letters.get(i, {}).items()}
+        assert not by or by[want[i][0]] / sum(sum(map(str.isalpha, w)) for w in L.WORD.findall(texts[i])) == pytest.approx(want[i][1])
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(2)
+    made = {f"l{n:03d}": ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(8)] for n in range(90)}
+    rows = [(i, " ".join(rng.choices(words, k=20)), g) for i, (g, words) in enumerate(x for x in made.items() for _ in range(9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs)
+    assert set(model.langs) == set(made) and model.logp.shape == (L.buckets_for(90), 90) and L.buckets_for(90) < L.MOST_BUCKETS == L.buckets_for(64)
+    got = L.identify(docs, model).collect()
+    assert sum(r.lang_pred == rows[r.doc_id][2] for r in got) >= 0.98 * len(rows)
+    assert L.spans(odd_docs(spark), model).count() > 0 and L.spans(no_docs(spark), model).count() == 0
+    assert L.keep_identified(docs, L.fit(no_docs(spark))).count() == 0
+
+
 def test_held_out_column(spark):
     rows = spark.range(50).select(F.col("id").alias("doc_id")).withColumn("l", L.is_learned(F.col("doc_id"))).collect()
     assert all(r.l == (zlib.crc32(str(r.doc_id).encode()) % 3 != 1) for r in rows)
