@@ -48,11 +48,19 @@ def row_keys(df: DataFrame) -> tuple[Column, Column]:
 
 
 def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """One row of docs for each of the keys (two columns, see row_keys); columns are those of docs, whatever their names."""
+    """One row of docs for each of the keys (two columns, see row_keys); columns are those of docs, whatever their names.
+
+    Rows that are equal in every column share a key: only these are shuffled to leave one of each.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    slim = docs.select(*[k.alias(n) for k, n in zip(row_keys(docs), ("key0", "key1"))])
+    # Written: their sizes are known then, and texts need no shuffle while they are small.
+    keys, often = written(keys.toDF("key0", "key1")), written(slim.groupBy("key0", "key1").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     keyed = docs.select(*[k.alias(n) for k, n in zip(row_keys(docs), ("key0", "key1"))], row)
-    met = keyed.join(keys.toDF("key0", "key1"), ["key0", "key1"], "left_semi").dropDuplicates(["key0", "key1"])
-    return met.select("row.*")
+    on = ["key0", "key1"]
+    single = keyed.join(keys.join(often, on, "left_anti"), on, "left_semi")
+    equal = keyed.join(keys.join(often, on, "left_semi"), on, "left_semi").dropDuplicates(on)
+    return single.unionAll(equal).select("row.*")
 
 
 def _signature(edges: DataFrame) -> tuple:

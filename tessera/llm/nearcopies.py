@@ -2,22 +2,21 @@
 
 At that similarity the fingerprints of two shingle sets differ in about 10 of 64 bits, in more than
 `RADIUS` in less than one case of 10,000; unrelated ones differ in 32. No choice of equal bit blocks holds
-such links together, so shards come from the texts themselves: sets of similarity t or more share a
-member among the first n - ceil(t n) + 1 of each, whatever order all shingles are put in, and a
-shard holds the sets that have a shingle there. The order takes shingles that are common in a bounded
-sample last, then goes by hash: it decides how large shards are, never which links are found.
+such links together, so shards come from the sets themselves: each goes to the shards of its `KEYS` smallest
+shingle hashes. Those of the union of two sets lie in both with chance 0.8 each, so that one link in
+1 / 0.2^8 = 400,000 is in no shard. Members of a shard beyond `shard_rows` are dealt again, by pairs of its
+hash with each other one of their `SKETCH` smallest; what is still too large is cut into parts that meet each other.
 
 A shard's fingerprints go into a BK-tree, children keyed by their Hamming distance to the parent, and a
-search follows only edges within the radius. What it finds is compared by whole sets. A first round
-reports a spanning forest of what each shard's tree found, so that a large group of near-copies isn't
-compared pair by pair; the second reports what is left: pairs whose members the links so far leave in
-different components. Shards beyond `shard_rows` are cut into parts: the first round links each part
-within itself and with the shard's first member, the second meets part with part.
+search follows only edges within the radius. A second fingerprint thins out what it finds: over both,
+related sets differ in 19 of 128 bits, unrelated ones in 64. The rest is compared by whole sets. A first
+round reports a spanning forest of what each shard's tree found; as members come in the order of their
+sizes and ids, the shards of a large group of near-copies report much the same links. The second round
+reports what is left: pairs whose members the links so far leave in different components.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,9 +28,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import components, keep_rows, row_keys, written
 from tessera.llm.simhash import SEED, SHARD_ROWS, BKTree, ones_of, pieces
 
-SHINGLE, LEAST, RADIUS = 5, 0.8, 24
-SAMPLE_ROWS, COMMON = 10_000, 100_000  # rows that the order is taken from (in expectation), shingles that it knows
+SHINGLE, LEAST, RADIUS, RADIUS_OF_BOTH = 5, 0.8, 24, 40
+KEYS, SKETCH = 8, 16
 EPS = 1e-9
+MIX = np.uint64(0x9E3779B97F4A7C15)  # makes other hashes of a shingle for the second fingerprint
 
 
 def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -56,10 +56,6 @@ def set_fingerprint(s: np.ndarray) -> int:
     return sum(1 << b for b in np.flatnonzero(2 * ones_of(s) > len(s)).tolist()) if len(s) else 0
 
 
-def prefix_length(n: int, least: float) -> int:
-    return n - math.ceil(least * n - EPS) + 1 if n else 0
-
-
 def _sets(docs: DataFrame, size: int, name: str) -> DataFrame:
     """(name, s): a column of docs and the shingles of its text, as signed longs."""
 
@@ -71,37 +67,27 @@ def _sets(docs: DataFrame, size: int, name: str) -> DataFrame:
     return docs.select(name, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{name} long, s array<long>")
 
 
-def _common(keyed: DataFrame, size: int, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several rows of a sample have, sorted, and in how many."""
-    span = 1 << 30
-    part = keyed.where(F.pmod("key0", F.lit(span)) < min(span, -(-span * sample_rows // max(1, keyed.count()))))
-    counts = _sets(part, size, "key0").select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    top = counts.orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
-    h, n = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
-
+def second(s: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles."""
+    h = (s ^ (s >> np.uint64(29))) * MIX
+    return h ^ (h >> np.uint64(32))
 
-def _prefixes(keyed: DataFrame, size: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, key0, key1, id, n, fp, prefix): id is a sum of the set, n its size, fp its fingerprint as a signed long."""
-    known, often = common
 
-    def prefix(s: np.ndarray) -> np.ndarray:
-        rank = np.zeros(len(s), np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-            rank = np.where(known[at] == s, often[at], 0)
-        return s[np.lexsort((s, rank))[: prefix_length(len(s), least)]].view(np.int64)
+def _sketches(keyed: DataFrame, size: int) -> DataFrame:
+    """(doc_id, key0, key1, id, n, fp, fp2, sketch): id is a sum of the set, n its size, fp and fp2 its fingerprints, sketch its smallest hashes, as signed longs."""
+    kinds = {"id": pa.int64(), "n": pa.int32(), "fp": pa.int64(), "fp2": pa.int64(), "sketch": pa.list_(pa.int64())}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), size) for t in batch.column("text").cast(pa.binary())]
-            ids = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            fps = np.array(list(map(set_fingerprint, sets)), np.uint64).view(np.int64)
-            made = [pa.array(ids), pa.array([len(s) for s in sets], pa.int32()), pa.array(fps), pa.array(list(map(prefix, sets)), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "key0", "key1")), *made], names=["doc_id", "key0", "key1", "id", "n", "fp", "prefix"])
+            rows = []
+            for t in batch.column("text").cast(pa.binary()):
+                s = shingles(t.as_py(), size)
+                fps = np.array([xxhash.xxh3_64_intdigest(s.tobytes()), set_fingerprint(s), set_fingerprint(second(s))], np.uint64).view(np.int64).tolist()
+                rows.append((fps[0], len(s), fps[1], fps[2], s[:SKETCH].view(np.int64)))
+            made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "key0", "key1")), *made], names=["doc_id", "key0", "key1", *kinds])
 
-    return keyed.mapInArrow(run, "doc_id long, key0 long, key1 long, id long, n int, fp long, prefix array<long>")
+    return keyed.mapInArrow(run, "doc_id long, key0 long, key1 long, id long, n int, fp long, fp2 long, sketch array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -116,30 +102,40 @@ def _fits(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     return np.minimum(a, b) >= least * np.maximum(a, b) - EPS
 
 
-def forest(fps: np.ndarray, sizes: np.ndarray, radius: int, least: float) -> list[tuple[int, int]]:
-    """Positions of pairs within the radius, of sizes that fit, that connect all such pairs."""
-    label, out = np.arange(len(fps)), []
-    for node, hits in BKTree(fps.tolist()).search(fps, radius):
-        hits = hits[(label[hits] != label[node]) & _fits(sizes[hits], sizes[node], least)]
-        if len(hits):
-            labels, first = np.unique(label[hits], return_index=True)
-            out += [(node, q) for q in hits[first].tolist()]
-            label[np.isin(label, labels)] = label[node]
-    return out
+class Members:
+    """Fingerprints and sizes of some sets, searched together."""
+
+    def __init__(self, fps: np.ndarray, seconds: np.ndarray, sizes: np.ndarray, radius: int, least: float):
+        self.fps, self.seconds, self.sizes, self.radius, self.least = fps, seconds, sizes, radius, least
+
+    def near(self, tree: int, first: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(position, positions that may be similar), the one of the first `tree` members, the others from `first` on."""
+        for node, hits in BKTree(self.fps[:tree].tolist()).search(self.fps[first:], self.radius):
+            hits = hits + first
+            both = np.bitwise_count(self.fps[hits] ^ self.fps[node]) + np.bitwise_count(self.seconds[hits] ^ self.seconds[node])
+            yield node, hits[(both <= RADIUS_OF_BOTH) & _fits(self.sizes[hits], self.sizes[node], self.least)]
 
+    def forest(self) -> list[tuple[int, int]]:
+        """Pairs that connect all that may be similar."""
+        label, out = np.arange(len(self.fps)), []
+        for node, hits in self.near(len(self.fps), 0):
+            hits = hits[label[hits] != label[node]]
+            if len(hits):
+                labels, first = np.unique(label[hits], return_index=True)
+                out += [(node, q) for q in hits[first].tolist()]
+                label[np.isin(label, labels)] = label[node]
+        return out
 
-def apart(fps: np.ndarray, sizes: np.ndarray, roots: np.ndarray, first: int, radius: int, least: float) -> list[tuple[int, int]]:
-    """Positions of pairs within the radius whose sizes fit and whose roots differ, one before `first` and one from it on; if `first` is 0, of all pairs."""
-    out = []
-    for node, hits in BKTree(fps[: first or None].tolist()).search(fps[first:], radius):
-        hits = hits + first
-        hits = hits[(roots[hits] != roots[node]) & _fits(sizes[hits], sizes[node], least)]
-        out += [(node, q) for q in hits.tolist() if first or q > node]
-    return out
+    def apart(self, roots: np.ndarray, first: int) -> list[tuple[int, int]]:
+        """All pairs that may be similar and have different roots: one before `first` and one from it on, or any if `first` is 0."""
+        out = []
+        for node, hits in self.near(first or len(self.fps), first):
+            out += [(node, q) for q in hits[roots[hits] != roots[node]].tolist() if first or q > node]
+        return out
 
 
 def _pairs(rows: DataFrame, radius: int, least: float) -> DataFrame:
-    """rows (h, lo, hi, part, id, n, fp, root), dealt and sorted by (h, lo, hi): candidate pairs (a, b).
+    """rows (h, lo, hi, part, id, n, fp, fp2, root), dealt and sorted by (h, lo, hi): candidate pairs (a, b).
 
     Without roots (null) a spanning forest of each (h, lo, hi); with roots all pairs between different ones, of a pair of parts those that it has between them.
     """
@@ -150,12 +146,14 @@ def _pairs(rows: DataFrame, radius: int, least: float) -> DataFrame:
         def close() -> None:
             if len(held) < 2:
                 return
-            held.sort(key=lambda m: m[0] != key[1])  # of two parts the first one is the tree
-            ids, sizes, fps = [m[1] for m in held], np.array([m[2] for m in held]), np.array([m[3] for m in held], np.int64).view(np.uint64)
-            if held[0][4] is None:
-                found = forest(fps, sizes, radius, least)
+            # Of two parts the first one is the tree; the order is the same in all shards.
+            held.sort(key=lambda m: (m[0] != key[1], m[2], m[1]))
+            ids, sizes = [m[1] for m in held], np.array([m[2] for m in held])
+            some = Members(*(np.array([m[i] for m in held], np.int64).view(np.uint64) for i in (3, 4)), sizes, radius, least)
+            if held[0][5] is None:
+                found = some.forest()
             elif (first := sum(m[0] == key[1] for m in held) % len(held)) or key[1] == key[2]:
-                found = apart(fps, sizes, np.array([m[4] for m in held]), first, radius, least)
+                found = some.apart(np.array([m[5] for m in held]), first)
             else:
                 found = []
             out.update((min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in found if ids[i] != ids[j])
@@ -167,7 +165,7 @@ def _pairs(rows: DataFrame, radius: int, least: float) -> DataFrame:
 
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in ("h", "lo", "hi")))
-            for k, *member in zip(keys, *(batch.column(c).to_pylist() for c in ("part", "id", "n", "fp", "root"))):
+            for k, *member in zip(keys, *(batch.column(c).to_pylist() for c in ("part", "id", "n", "fp", "fp2", "root"))):
                 if k != key:
                     close()
                     key, held = k, []
@@ -177,28 +175,40 @@ def _pairs(rows: DataFrame, radius: int, least: float) -> DataFrame:
         close()
         yield pack()
 
-    dealt = rows.select("h", "lo", "hi", "part", "id", "n", "fp", "root").repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
+    dealt = rows.select("h", "lo", "hi", "part", "id", "n", "fp", "fp2", "root").repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
     return dealt.mapInArrow(run, "a long, b long")
 
 
+MEMBER = ("id", "n", "fp", "fp2")
+
+
+def shards(firsts: DataFrame, shard_rows: int) -> DataFrame:
+    """(h, id, n, fp, fp2, parts, part) of firsts (id, n, fp, fp2, sketch): the members of each shard of two or more."""
+    keys = firsts.select(*MEMBER, F.explode(F.slice("sketch", 1, KEYS)).alias("h"))
+    counts = written(keys.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
+    cool = keys.join(counts.where(F.col("c") <= shard_rows), "h").select("h", *MEMBER, F.lit(1).alias("parts"))
+    hot = keys.select("h", "id").join(counts.where(F.col("c") > shard_rows), "h").select("h", "id")
+    again = hot.join(firsts.select(*MEMBER, "sketch"), "id").withColumn("other", F.explode("sketch")).where("other <> h")
+    again = written(again.select(F.xxhash64("h", "other").alias("h"), *MEMBER))
+    counts = again.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    again = again.join(counts, "h").select("h", *MEMBER, F.ceil(F.col("c") / shard_rows).cast("int").alias("parts"))
+    return written(cool.unionAll(again).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
+
+
 def linked(firsts: DataFrame, keyed: DataFrame, size: int, least: float, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(node, root) of the sets in firsts (id, n, fp, prefix, first) that have a partner."""
-    entries = firsts.select("id", "n", "fp", F.explode("prefix").alias("h"))
-    counts = written(entries.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
-    parts = F.ceil(F.col("c") / shard_rows).cast("int")
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    shared = written(entries.join(counts, "h").withColumn("parts", parts).select("h", "id", "n", "fp", "parts", part.alias("part")))
+    """(node, root) of the sets in firsts (id, n, fp, fp2, sketch, first) that have a partner."""
+    shared = shards(firsts, shard_rows)
     # The first member of a shard in several parts is in each of them.
-    large = shared.where("parts > 1")
-    heads = large.groupBy("h").agg(F.min(F.struct("n", "id", "fp", "parts")).alias("m"))
-    heads = heads.select("h", "m.id", "m.n", "m.fp", F.explode(F.sequence(F.lit(0), F.col("m.parts") - 1)).alias("part"))
-    alone = lambda rows: rows.select("h", F.col("part").alias("lo"), F.col("part").alias("hi"), "part", "id", "n", "fp", F.lit(None).cast("long").alias("root"))
+    heads = shared.where("parts > 1").groupBy("h").agg(F.min(F.struct("n", "id", "fp", "fp2", "parts")).alias("m"))
+    heads = heads.select("h", "m.id", "m.n", "m.fp", "m.fp2", F.explode(F.sequence(F.lit(0), F.col("m.parts") - 1)).alias("part"))
+    alone = lambda rows: rows.select("h", F.col("part").alias("lo"), F.col("part").alias("hi"), "part", *MEMBER, F.lit(None).cast("long").alias("root"))
     tried = written(_pairs(alone(shared).unionAll(alone(heads)), radius, least).distinct())
     needed = written(tried.select("a").union(tried.select("b")).distinct().toDF("id"))
 
     def sets_of(needed: DataFrame) -> DataFrame:
-        rows = firsts.join(needed, "id").select("id", F.col("first.key0").alias("key0"), F.col("first.key1").alias("key1"))
-        return written(_sets(keyed.select("key0", "key1", "text").join(rows, ["key0", "key1"]).dropDuplicates(["id"]), size, "id"))
+        # Written: its size is known then, and texts need no shuffle while it is small.
+        rows = written(firsts.join(needed, "id").select("id", F.col("first.key0").alias("key0"), F.col("first.key1").alias("key1")))
+        return written(_sets(keyed.select("key0", "key1", "text").join(rows, ["key0", "key1"]), size, "id").dropDuplicates(["id"]))
 
     sets = sets_of(needed)
     links = written(_verified(tried, sets, least))
@@ -207,14 +217,14 @@ def linked(firsts: DataFrame, keyed: DataFrame, size: int, least: float, radius:
     named = written(shared.join(of, "id", "left").withColumn("root", F.coalesce("root", "id")))
     mixed = named.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("h")
     left = named.join(mixed, "h").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    left = left.select("h", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "n", "fp", "root")
+    left = left.select("h", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", *MEMBER, "root")
     more = written(_pairs(left, radius, least).distinct().join(tried, ["a", "b"], "left_anti"))
     # A set that only the second round asks for wasn't read in the first.
     unread = more.select("a").union(more.select("b")).distinct().toDF("id").join(needed, "id", "left_anti")
     return components(links.union(_verified(more, sets.union(sets_of(written(unread))), least)))
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, radius: int = RADIUS, sample_rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The documents without near-copies: one row of each group stays; the columns are those of `docs`.
 
     A group is what links of Jaccard similarity `least` or more connect. Words are as in SimHash: split at
@@ -225,9 +235,9 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, radi
     """
     key0, key1 = row_keys(docs)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key0.alias("key0"), key1.alias("key1"))
-    rows = _prefixes(keyed, shingle, least, _common(keyed, shingle, sample_rows))
+    rows = _sketches(keyed, shingle)
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key0", "key1")
-    firsts = written(rows.groupBy("id").agg(F.min(place).alias("first"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("prefix").alias("prefix")))
+    firsts = written(rows.groupBy("id").agg(F.min(place).alias("first"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("fp2").alias("fp2"), F.any_value("sketch").alias("sketch")))
     groups = linked(firsts, keyed, shingle, least, radius, shard_rows).toDF("id", "root")
     kept = firsts.select("id", "first").join(groups, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
     return keep_rows(docs, kept.select("first.key0", "first.key1"))
