@@ -43,14 +43,9 @@ def op7_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
-def page_outcomes(labels: DataFrame) -> DataFrame:
-    """Labels by page: the label tables name documents, whose ids are taken as those of pages."""
-    bad = F.greatest((F.col("toxic") == 1).cast("int"), (F.col("quality") == 0).cast("int"))
-    return labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-
-
 def op8_url_filter(spark: SparkSession, d: str) -> DataFrame:
-    return urls.judge(table(spark, d, "pages"), page_outcomes(table(spark, d, "labels")))
+    pages = table(spark, d, "pages")
+    return urls.judge(pages, urls.page_outcomes(pages))
 
 
 def op9_simhash_dedup(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """URL filters: host reputation by empirical Bayes, under explicit rules. Spark functions alone.
 
-Labelled outcomes of pages are counted by host, registered domain and suffix. Each level's counts are
+Outcomes of pages are counted by host, registered domain and suffix; `page_outcomes` labels a page by its
+own text, any other labels by page will do. Each level's counts are
 shrunk to the level above through a beta prior whose strength is estimated from the spread between
 groups (beta-binomial moments). A host is blocked if the posterior of its bad rate lies above a limit
 by a margin of standard deviations.
@@ -14,8 +15,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import written
 
 LIMIT, MARGIN, STRENGTHS = 0.5, 1.28, (1.0, 1000.0)
-# Suffixes of two labels under which domains are registered.
+# Suffixes of two labels under which domains are registered; all others are the last label. A parameter where more are needed.
 LONG_SUFFIXES = ("ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.tr", "gov.uk", "ne.jp", "org.uk")
+ADDRESS = r"^(\d{1,3}(\.\d{1,3}){3}|\[.*\])$"  # an IPv4 address, or IPv6 in brackets: a domain of its own, without a suffix
+# What a page's text is read from, and what makes it junk.
+UNSEEN, SYMBOLS, JUNK = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>", "!#$%&*+=?@^_~", 0.2
+WORDS = r"[^\x20\x09-\x0D]+"
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
 
@@ -37,12 +42,29 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return found, verdict
 
 
-def levels(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix) of a host, a port left aside."""
+def _tripled() -> str:
+    return "|".join(f"[{c}]{{3}}" if c != "^" else "\\^{3}" for c in SYMBOLS)
+
+
+def page_outcomes(pages: DataFrame) -> DataFrame:
+    """(page_id, bad) of (page_id, html): 1 if the visible text is empty or a fifth of its words or more hold a symbol three times in a row.
+
+    Null html has no outcome; repeated rows have one each.
+    """
+    seen = F.replace(F.regexp_replace(F.col("html").cast("string"), UNSEEN, " "), F.lit("&amp;"), F.lit("&"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), seen.alias("seen")).where("seen IS NOT NULL")
+    bad = F.regexp_count("seen", F.lit(_tripled())) >= JUNK * F.regexp_count("seen", F.lit(WORDS))
+    return rows.select("page_id", bad.cast("int").alias("bad"))
+
+
+def levels(host: Column, suffixes: tuple[str, ...] = LONG_SUFFIXES) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host, a port left aside. An address is a domain under the empty suffix."""
     name = F.regexp_replace(host, r":\d*$", "")
-    suffix = F.when(F.substring_index(name, ".", -2).isin(*LONG_SUFFIXES), F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
-    domain = F.when(F.length(suffix) > F.length(F.substring_index(name, ".", -1)), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
-    return domain, suffix
+    last = F.substring_index(name, ".", -1)
+    suffix = F.when(F.substring_index(name, ".", -2).isin(*suffixes), F.substring_index(name, ".", -2)).otherwise(last)
+    domain = F.when(F.length(suffix) > F.length(last), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    address = name.rlike(ADDRESS)
+    return F.when(address, name).otherwise(domain), F.when(address, "").otherwise(suffix)
 
 
 def _strength() -> Column:
@@ -85,9 +107,10 @@ def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, fl
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT, margin: float = MARGIN) -> DataFrame:
     """One row a page: page_id, host, path, rule, verdict.
 
-    outcomes: (page_id, bad 0 or 1) of labelled pages; several rows of a page count as bad if one is.
-    Hosts without labels take their domain's prior, else their suffix's, else that of all pages; an empty
+    outcomes: (page_id, bad 0 or 1) of labelled pages; several rows of a page count as bad if one is, a null
+    as none. Hosts without labels take their domain's prior, else their suffix's, else that of all pages; an empty
     host has levels of its own. Repeated rows are judged each, and count each. A null page_id has no label.
+    An empty table gives an empty result; other columns are ignored.
     """
     host, path = split_url(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
@@ -110,7 +133,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIM
 
 
 def judge_sql(rules=RULES, limit: float = LIMIT, margin: float = MARGIN) -> str:
-    """The same for DuckDB, over pages and labels."""
+    """The same for DuckDB, over pages and their outcomes by `page_outcomes`."""
     fits = [(r, says, r.partition("/")) for r, says in sorted(rules, key=lambda r: -len(r[0]))]
     test = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}')"
     rule = " ".join(f"WHEN {test.format(p[0], p[2])} THEN '{r}'" for r, _, p in fits)
@@ -124,10 +147,13 @@ def judge_sql(rules=RULES, limit: float = LIMIT, margin: float = MARGIN) -> str:
   u AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM r),
   v AS (SELECT *, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS parts FROM u),
-  w AS (SELECT page_id, host, path, CASE WHEN array_to_string(parts[-2:], '.') IN ({long}) THEN 2 ELSE 1 END AS k, parts FROM v),
-  p AS (SELECT page_id, host, path, array_to_string(parts[-k - 1:], '.') AS domain, array_to_string(parts[-k:], '.') AS suffix FROM w),
-  l AS (SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels
-    WHERE toxic IS NOT NULL OR quality IS NOT NULL GROUP BY doc_id),
+  w AS (SELECT page_id, host, path, CASE WHEN array_to_string(parts[-2:], '.') IN ({long}) THEN 2 ELSE 1 END AS k, parts,
+    regexp_matches(array_to_string(parts, '.'), '{ADDRESS}') AS address FROM v),
+  p AS (SELECT page_id, host, path, CASE WHEN address THEN array_to_string(parts, '.') ELSE array_to_string(parts[-k - 1:], '.') END AS domain,
+    CASE WHEN address THEN '' ELSE array_to_string(parts[-k:], '.') END AS suffix FROM w),
+  q AS (SELECT page_id, replace(regexp_replace(html, '{UNSEEN}', ' ', 'g'), '&amp;', '&') AS seen FROM pages),
+  l AS (SELECT page_id, max(CASE WHEN len(regexp_extract_all(seen, '{_tripled()}')) >= {JUNK} * len(regexp_extract_all(seen, '{WORDS}')) THEN 1 ELSE 0 END) AS bad
+    FROM q WHERE seen IS NOT NULL GROUP BY page_id),
   h AS (SELECT host, domain, suffix, CAST(count(*) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS bad FROM p JOIN l USING (page_id) GROUP BY ALL),
   d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
   s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
