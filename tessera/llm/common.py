@@ -63,6 +63,16 @@ def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return single.unionAll(equal).select("row.*")
 
 
+COPIES_AT_ONCE = 4096  # equal rows that a task makes at once
+
+
+def numbered(rows: DataFrame, copies: str, *by: str) -> DataFrame:
+    """Each row as often as its column `copies` says, numbered from 0 in `i`; large numbers go to many tasks, dealt with `by`."""
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1, F.lit(COPIES_AT_ONCE).cast("long")))
+    rows = rows.where(F.col(copies) > 0).withColumn("chunk", chunk).repartition(*by, "chunk")
+    return rows.withColumn("i", F.explode(F.sequence("chunk", F.least(F.col("chunk") + COPIES_AT_ONCE, F.col(copies)) - 1)))
+
+
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 

@@ -19,12 +19,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import row_keys, written
+from tessera.llm.common import numbered, row_keys, written
 
 WEIGHTS, MOST_EPOCHS = (5, 2, 1), 3
 LEAST_WEIGHT, MOST_WEIGHT = 1e-6, 1e6  # of a document's draw
 BUCKET_ROWS = 8192  # rows of a source's key bucket at most, about
-COPIES_AT_ONCE = 4096  # equal rows that a task makes at once
 WORDS = r"[^\x20\x09-\x0D]+"
 # Characters that count against a text's quality.
 NOISE = "!\"#$%&'()*+-/0123456789<=>?@[\\]^_`{|}~"
@@ -116,13 +115,6 @@ def cuts(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_E
     return written(out.select("of", "source_size", "target", "epochs", whole.alias("whole"), "cut", "left", "cut_size", "copies", "cut_doc").coalesce(1))
 
 
-def _numbered(rows: DataFrame, copies: str) -> DataFrame:
-    """Each row as often as its column `copies` says, numbered from 0 in `i`; large numbers go to many tasks."""
-    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1, F.lit(COPIES_AT_ONCE).cast("long")))
-    rows = rows.where(F.col(copies) > 0).withColumn("chunk", chunk).repartition("of", "chunk")
-    return rows.withColumn("i", F.explode(F.sequence("chunk", F.least(F.col("chunk") + COPIES_AT_ONCE, F.col(copies)) - 1)))
-
-
 def _placed(rows: DataFrame, cut: DataFrame) -> DataFrame:
     """Rows of `drawn` with their source's cut; `before`: whether they lie before it; `ends`: whether it is theirs."""
     rows = rows.join(cut, F.col("source").eqNullSafe(F.col("of")))
@@ -144,7 +136,7 @@ def taken(docs: DataFrame, seed: int = 0, weight: Column | None = None, **how) -
     some = F.when(F.col("before"), F.col("size")).when(F.col("ends"), F.col("left")).otherwise(0)
     rows = rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + some).cast("long").alias("taken"))
     some = F.least(F.greatest(F.col("left") - F.col("i") * F.col("cut_size"), F.lit(0)), F.col("cut_size"))
-    equal = _numbered(cut.where("copies > 1"), "copies").select(
+    equal = numbered(cut.where("copies > 1"), "copies", "of").select(
         F.col("cut_doc").alias("doc_id"), F.col("cut_size").alias("size"), "source_size", "target", (F.col("epochs") * F.col("cut_size") + some).cast("long").alias("taken")
     )
     return rows.unionAll(equal)
@@ -163,4 +155,4 @@ def mix(docs: DataFrame, seed: int = 0, weight: Column | None = None, **how) ->
     out = rows.select("row", often.alias("often")).where("often > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("often")))).select("row.*")
     fit = F.least(F.col("copies"), F.floor((2 * F.col("left") + F.col("cut_size")) / (2 * F.col("cut_size"))).cast("long"))
     equal = rows.where("ends AND copies > 1").groupBy("of").agg(F.any_value("row").alias("row"), F.any_value(fit).alias("fit"))
-    return out.unionAll(_numbered(equal, "fit").select("row.*"))
+    return out.unionAll(numbered(equal, "fit", "of").select("row.*"))

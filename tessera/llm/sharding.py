@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import numbered
+
 SHARDS, SLOT_ROWS = 24, 8192
 
 
@@ -26,7 +28,8 @@ def assign(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, grown_we
     size is the text's UTF-8 bytes plus 8 (null: 8), text_crc32 null for a null text. A null doc_id is a
     key like any other. Equal texts with different ids are placed apart: the law is `key`. Slots count
     from 0 within a shard, in the order of hash, doc_id and text_crc32; repeated rows get a slot each.
-    Slots come from counts of small hash ranges, so that no task sorts a shard.
+    Slots come from counts of small hash ranges, so that no task sorts a shard; equal rows are counted
+    before anything is shuffled and numbered by many tasks. An empty table gives an empty result.
     """
     key, n = F.col("doc_id"), len(weights)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
@@ -36,9 +39,13 @@ def assign(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, grown_we
     slim = slim.select("doc_id", "size", "text_crc32", F.col("best.i").alias("shard"), F.when(F.col("grown") < F.col("best.c"), n).otherwise(F.col("best.i")).alias("grown_shard"))
     ranges = max(16, -(-docs.count() // (n * SLOT_ROWS)))
     slim = slim.withColumn("range", F.pmod(F.xxhash64("doc_id", F.lit("slot"), "text_crc32"), F.lit(ranges)).cast("int"))
+    equal = slim.groupBy(*slim.columns).agg(F.count("*").alias("copies"))
     counts = slim.groupBy("shard", "range").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("shard", "range").orderBy("doc_id", "text_crc32", "size")
-    slot = (F.col("offset") + F.row_number().over(within) - 1).cast("long")
-    return slim.join(offsets, ["shard", "range"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.alias("slot"), "grown_shard")
+    within = Window.partitionBy("shard", "range").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = equal.join(offsets, ["shard", "range"]).withColumn("first", F.col("offset") + F.coalesce(F.sum("copies").over(within), F.lit(0)))
+    out = lambda rows, slot: rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.cast("long").alias("slot"), "grown_shard")
+    # One of each, then what it has of equals.
+    more = numbered(rows.where("copies > 1").withColumn("others", F.col("copies") - 1), "others", "doc_id", "text_crc32")
+    return out(rows, F.col("first")).unionAll(out(more, F.col("first") + F.col("i") + 1))
