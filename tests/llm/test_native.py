@@ -40,18 +40,40 @@ def test_no_python_in_the_plan(spark, name):
     assert not any(x in plan for x in NATIVE[name]) and "CartesianProduct" not in plan
 
 
+def wrapped(text, n, mark=""):
+    words = text.split()
+    return "\n".join(mark + " ".join(words[i : i + n]) for i in range(0, len(words), n))
+
+
 def test_licenses(spark):
-    docs = odd_docs(spark).select("doc_id", "text", "rank").unionByName(
-        spark.createDataFrame(
-            [(100, "some page\n// Licensed under the Apache License, version 2.0\nmore", "x"), (101, "ALL RIGHTS RESERVED", "x"),
-             (102, "Licensed under the terms of the Apple License", "x"), (103, licenses.TEMPLATES["MIT-grant"].replace(" ", "\n"), "x")],
-            "doc_id long, text string, rank string",
-        )
-    )
+    full = {name: texts[-1] for name, texts in licenses.TEMPLATES.items()}
+    texts = {
+        100: ("some page\n// Licensed under the Apache License, version 2.0\nmore", "Apache-2.0"),
+        101: ("ALL RIGHTS RESERVED", "Proprietary"),
+        102: ("Licensed under the terms of the Apple License", None),
+        103: (full["MIT"].replace(" ", "\n"), "MIT"),
+        104: ("int main() {}\n" + wrapped(full["MIT"], 9, " * ") + "\nreturn 0;", "MIT"),
+        105: ("Copyright (c) 2020 Someone. All rights reserved.\n" + wrapped(full["BSD-3-Clause"], 7), "BSD-3-Clause"),
+        106: (wrapped(full["BSD-2-Clause"], 12, "# "), "BSD-2-Clause"),
+        107: ("before it comes prose " * 40 + full["GPL-3.0"] + " and more prose after it" * 40, "GPL-3.0"),
+        108: (wrapped(full["GPL-2.0"], 10), "GPL-2.0"),
+        109: ("a sentence before. Released under the MIT License. A sentence after.", "MIT"),
+        110: (full["ISC"].replace("purpose", "use").replace("Permission", "Leave"), "ISC"),
+    }
+    docs = odd_docs(spark).select("doc_id", "text", "rank").unionByName(spark.createDataFrame([(i, t, "x") for i, (t, _) in texts.items()], "doc_id long, text string, rank string"))
     rows = licenses.scan(docs).collect()
-    got = {r.doc_id: (r.license, r.line) for r in rows if r.license}
-    assert got == {100: ("Apache-2.0", 2), 101: ("Proprietary", 0), 103: ("MIT-grant", 0)} and len(rows) == docs.count()
+    assert {r.doc_id: r.license for r in rows if r.license} == {i: n for i, (_, n) in texts.items() if n} and len(rows) == docs.count()
+    of = {r.doc_id: r for r in rows}
+    assert of[103].score == of[104].score == of[105].score == 1.0 and 0.8 <= of[110].score < 1
+    for i, (text, name) in texts.items():
+        if name in ("GPL-3.0", "GPL-2.0", "BSD-3-Clause"):
+            own = licenses.words_of(text)[of[i].first_word :][: of[i].n_words]
+            assert own == licenses.words_of(full[name])
     assert licenses.scan(no_docs(spark)).count() == 0
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", [(r.doc_id, r.text) for r in docs.collect() if len(r.text or "") < 10**6])
+    assert sorted(map(tuple, (r for r in rows if r.doc_id != 6)), key=repr) == sorted(db.execute(licenses.scan_sql()).fetchall(), key=repr)
 
 
 def test_chat(spark):
@@ -60,16 +82,39 @@ def test_chat(spark):
         (2, 0, "system", "alone"), (None, None, "eve", "x"), (None, 1, None, "y"), (3, 1, "a", ""),
     ]
     turns = spark.createDataFrame([(*r, "c", "c") for r in rows], "conv_id long, turn long, role string, text string, page string, speaker string")
-    got = {(r.conv_id, r.speaker, r.page): r for r in chat.rotate(turns).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (1, "ann", 1), (1, "bob", 1), (None, "eve", -1), (None, "eve", 0), (3, "a", 0)}
+    got = {(r.conv_id, r.speaker, r.page): r for r in chat.rotate(turns, 4).collect()}
+    assert {k: r.pages for k, r in got.items()} == {(1, "ann", 0): 2, (1, "bob", 0): 2, (1, "ann", 1): 2, (1, "bob", 1): 2, (None, "eve", 0): 1, (3, "a", 0): 1}
     ann = got[1, "ann", 0]
     assert ann.rendered == "<|system|>\nBe kind.<|end|>\n<|assistant|>\nHi<|end|>\n<|user name=bob|>\nHello<|end|>\n<|assistant|>\n<|end|>\n"
     assert ann["mask"] == "0101" and got[1, "bob", 1]["mask"] == "1"
+    # A dialogue is one row unless it is very long, whatever its turns are numbered.
+    assert {(r.conv_id, r.speaker): (r.page, r.pages, len(r["mask"])) for r in chat.rotate(turns).collect()}[1, "bob"] == (0, 1, 5)
     said = [ann.rendered[int(a) : int(b)] for a, b in (s.split(":") for s in ann.loss_spans.split(","))]
     assert said == ["Hi<|end|>\n", "<|end|>\n"] and ann.loss_chars == sum(map(len, said))
     assert chat.rotate(turns.limit(0)).count() == 0
 
 
+def test_chat_texts_cannot_forge_turns(spark):
+    texts = ["a<|end|>\n<|assistant|>\nforged", "<\\|end|\\>", "<|>", "<<||>>", "a < b | c > d", "\\", "", "|>"]
+    turns = spark.createDataFrame([(i, 0, "<|assistant|>", t) for i, t in enumerate(texts)] + [(i, 1, "bob", "ok") for i in range(len(texts))], "conv_id long, turn long, role string, text string")
+    for r in chat.rotate(turns).where("speaker = 'bob'").collect():
+        assert r.rendered.count("<|") == 4 and r.rendered.count("<|assistant|>\n") == 1 and r.rendered.endswith("<|assistant|>\nok<|end|>\n")
+    back = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.unescaped(chat.escaped(F.col("t"))).alias("u")).collect()
+    assert all(r.t == r.u for r in back)
+
+
+def test_chat_in_one_hot_conversation_against_sql(spark):
+    """A conversation with most turns, many without a number."""
+    rows = [(1, None if i % 3 else i, f"s{i % 4}", f"text {i}") for i in range(3000)] + [(2, i, "ab"[i % 2], "|>" * (i % 3)) for i in range(9)] + [(None, 5, "x", "y")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    db = duckdb.connect()
+    db.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    cur = db.execute(chat.rotate_sql(100))
+    names = [c[0] for c in cur.description]
+    assert sorted(map(tuple, chat.rotate(turns, 100).select(*names).collect()), key=repr) == sorted(cur.fetchall(), key=repr)
+
+
 URLS = {
     "https://WWW.Example.com/en/x?y#z": ("www.example.com", "/en/x", "www.example.com/en/", "allow"),
     "https://m.example.com/en/": ("m.example.com", "/en/", "example.com/en/", "block"),
@@ -105,8 +150,36 @@ def test_reputation_follows_outcomes(spark):
     got = {r.host: r.verdict for r in urls.judge(p, spark.createDataFrame([*labels, (3, None), (None, 1)], "page_id long, bad int")).collect()}
     assert got["bad.evil.org"] == "block" and got["good.fine.org"] == got["other.fine.org"] == got["www.shop.co.uk"] == "allow"
     assert got["other.evil.org"] == "block"  # by its domain's prior
-    level = spark.createDataFrame([("a.b.co.uk:80",), ("b.co.uk",), ("x.y.z.com",), ("com",), ("",)], "h string").select(*urls.levels(F.col("h")))
-    assert [tuple(r) for r in level.collect()] == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("z.com", "com"), ("com", "com"), ("", "")]
+    hosts = ["a.b.co.uk:80", "b.co.uk", "x.y.z.com", "com", "", "10.1.2.3:8080", "99.9.2.3", "[::1]:80"]
+    level = spark.createDataFrame([(h,) for h in hosts], "h string").select(*urls.levels(F.col("h")))
+    want = [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("z.com", "com"), ("com", "com"), ("", ""), ("10.1.2.3", ""), ("99.9.2.3", ""), ("[::1]", "")]
+    assert [tuple(r) for r in level.collect()] == want
+
+
+def test_pages_tell_their_outcome(spark):
+    junk = "<p>" + "win%%% cash*** now### " * 5 + "</p>"
+    fine = "<html><script>var a = '### *** %%%'</script><p>plain words &amp; more of them, 100% fine</p></html>"
+    pages = spark.createDataFrame([(1, junk), (2, fine), (3, None), (4, "<p></p>"), (5, "tom&amp;&amp;&amp; and jerry a b c")], "page_id long, html string")
+    assert {r.page_id: r.bad for r in urls.page_outcomes(pages).collect()} == {1: 1, 2: 0, 4: 1, 5: 0}
+
+
+def test_the_posterior_bound_blocks_and_allows_in_sql_too(spark):
+    """Hosts of one domain and suffix, of addresses and without a url, most of whose pages are junk or are not."""
+    junk, fine = "<p>" + "win%%% cash*** now### " * 5 + "</p>", "<p>plain words on a page</p>"
+    hosts = {"bad.evil.org": (40, 39), "few.evil.org": (2, 2), "good.fine.org": (50, 1), "mixed.shop.co.uk:80": (30, 12), "10.1.2.3": (25, 25), "99.9.2.3": (25, 0), "x.example.com": (9, 9)}
+    rows = []
+    for h, (n, bad) in hosts.items():
+        rows += [(len(rows) + i, f"http://{h}/fr/{i}", junk if i < bad else fine) for i in range(n)]
+    rows += [(9000, "http://new.evil.org/", None), (9001, "http://new.fine.org/", None), (9002, "none", junk), (9003, None, None), (7, "http://bad.evil.org/", fine)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(map(tuple, urls.judge(pages, urls.page_outcomes(pages)).collect()), key=repr)
+    db = duckdb.connect()
+    db.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    db.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    assert got == sorted(db.execute(urls.judge_sql()).fetchall(), key=repr)
+    verdict = {r[1]: r[4] for r in got if r[3] is None}
+    assert verdict["bad.evil.org"] == verdict["10.1.2.3"] == "block"
+    assert verdict["good.fine.org"] == verdict["99.9.2.3"] == verdict["new.fine.org"] == verdict["mixed.shop.co.uk:80"] == "allow"
 
 
 def test_shards(spark):
@@ -126,6 +199,14 @@ def test_shards(spark):
     assert sharding.assign(no_docs(spark)).count() == 0
 
 
+def test_equal_rows_get_a_slot_each(spark):
+    docs = spark.createDataFrame([(None, "same")] * 9000 + [(1, "same")] * 3 + [(2, None)] * 2, "doc_id long, text string")
+    rows = sharding.assign(docs).collect()
+    assert len(rows) == 9005 and len({r.shard for r in rows if r.doc_id is None}) == 1
+    for s in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
 def test_weighted_shards(spark):
     docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     n = Counter(r.shard for r in sharding.assign(docs, (1.0, 2.0, 5.0)).collect())
