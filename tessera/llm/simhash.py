@@ -3,9 +3,10 @@
 Two fingerprints of 64 bits within distance r agree on at least `blocks - r` of `blocks` bit blocks
 (pigeonhole), so that every link lies inside a shard: the fingerprints that share the values of so
 many blocks. Each shard gets a BK-tree, children keyed by their integer Hamming distance to the
-parent, and a search follows only the edges within the radius. A shard beyond `shard_rows` is cut
-into parts; each part's tree is sent to every other part of its shard, which is what broadcasting
-shard trees comes to when their size is to stay bounded. Trees work on distinct fingerprints: copies
+parent, and a search follows only the edges within the radius. A shard beyond `shard_rows` is dealt
+again by blocks that are laid over the bits otherwise, by the same pigeonhole; what is then still too
+large, a dense cluster, is cut into parts, and each part's tree is sent to every other part of its shard,
+which is what broadcasting shard trees comes to when their size is to stay bounded. Trees work on distinct fingerprints: copies
 never meet as pairs. A task reports a spanning forest of the links it found, never all pairs.
 """
 
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import components, keep_rows, row_keys, written
 
 RADIUS, SHARD_ROWS, SHINGLE, SEED = 4, 4096, 4, 42
+TURN = 5  # bits by which the second blocks lie off the first: about half a block
 EXPECTED = 64  # fingerprints that a shard is to hold at most if they were random
 SPACE = b" \t\n\v\f\r"
 PIECE = 1 << 20  # bytes of a text whose words are held at once
@@ -203,9 +205,14 @@ def linked(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, shar
     keyed = fps.select("fp", F.explode(block_keys(F.col("fp"), radius, blocks)).alias("k"))
     # One number for a shard: a shard is at worst larger than it need be if two share it.
     keyed = keyed.select("fp", F.xxhash64("k.choice", "k.bits").alias("shard"))
-    sizes = keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / shard_rows).cast("int")
-    cut = keyed.join(sizes, "shard").select("fp", "shard", parts.alias("parts"))
+    sizes = written(keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"))
+    cool = keyed.join(sizes.where(F.col("n") <= shard_rows), "shard").select("fp", "shard", F.lit(1).alias("parts"))
+    again = keyed.join(sizes.where(F.col("n") > shard_rows).select("shard"), "shard")
+    turned = F.shiftleft("fp", TURN).bitwiseOR(F.shiftrightunsigned("fp", 64 - TURN))
+    again = again.select("fp", "shard", F.explode(block_keys(turned, radius, blocks)).alias("k"))
+    again = again.select("fp", F.xxhash64("shard", "k.choice", "k.bits").alias("shard"))
+    sizes = again.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
+    cut = cool.unionAll(again.join(sizes, "shard").select("fp", "shard", F.ceil(F.col("n") / shard_rows).cast("int").alias("parts")))
     cut = cut.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     pairs = cut.select("shard", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "fp")
