@@ -15,7 +15,9 @@ column share a key; they count as one group.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ from tessera.llm.common import numbered, row_keys, written
 
 WEIGHTS, MOST_EPOCHS = (5, 2, 1), 3
 LEAST_WEIGHT, MOST_WEIGHT = 1e-6, 1e6  # of a document's draw
+LEAST_QUALITY, LABELLED_ROWS = 0.05, 20_000
 BUCKET_ROWS = 8192  # rows of a source's key bucket at most, about
 WORDS = r"[^\x20\x09-\x0D]+"
 # Characters that count against a text's quality.
@@ -36,7 +39,61 @@ def n_words(text: Column) -> Column:
 def quality(text: Column) -> Column:
     """Share of characters that are no digits or symbols, 0.05 at least: the weight of a document's draw."""
     plain = F.length(F.translate(text, NOISE, "")) / F.greatest(F.length(text), F.lit(1))
-    return F.greatest(F.coalesce(plain, F.lit(0.0)), F.lit(0.05))
+    return F.greatest(F.coalesce(plain, F.lit(0.0)), F.lit(LEAST_QUALITY))
+
+
+@dataclass(frozen=True)
+class Quality:
+    """A logistic model of a text's quality over the share of its characters that are digits or symbols, that squared, and the logarithm of its length."""
+
+    bias: float
+    noise: float
+    noise2: float
+    length: float
+
+    def weight(self, text: Column) -> Column:
+        """The model's chance that the text is good, 0.05 at least; null texts count as empty."""
+        x, n = _features(text)
+        z = self.bias + self.noise * x + self.noise2 * x * x + self.length * n
+        return F.greatest(1 / (1 + F.exp(-z)), F.lit(LEAST_QUALITY))
+
+
+def _features(text: Column) -> tuple[Column, Column]:
+    n = F.length(F.coalesce(text, F.lit("")))
+    plain = F.length(F.translate(F.coalesce(text, F.lit("")), NOISE, ""))
+    return 1 - plain / F.greatest(n, F.lit(1)), F.log1p(n.cast("double"))
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, ridge: float = 1.0) -> Quality | None:
+    """The model that labels (doc_id, quality 0 or 1) of docs teach, from at most about `rows` of them picked by a hash of the id.
+
+    None without labelled texts of both kinds; other labels, null ids and ids without a document teach nothing.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("of"), F.col("quality").cast("int").alias("good")).where("of IS NOT NULL AND good IN (0, 1)")
+    span = 1 << 30
+    known = known.where(F.pmod(F.xxhash64("of"), F.lit(span)) < min(span, -(-span * rows // max(1, known.count()))))
+    noise, length = _features(F.col("text"))
+    # The sample's size is bounded, so it may go to all; the limit is for ids that many documents share.
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("of"))
+    seen = met.select("good", noise.alias("noise"), length.alias("length")).orderBy(F.xxhash64("doc_id"), "noise", "length", "good").limit(2 * rows).toPandas()
+    if seen["good"].nunique() < 2:
+        return None
+    x = np.column_stack([np.ones(len(seen)), seen["noise"], seen["noise"] ** 2, seen["length"]])
+    y, w = seen["good"].to_numpy(float), np.zeros(4)
+    penalty = ridge * np.diag([0.0, 1.0, 1.0, 1.0])
+    for _ in range(30):  # Newton's steps
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(4), x.T @ (y - p) - penalty @ w)
+        w = w + step
+        if np.abs(step).max() < 1e-10:
+            break
+    return Quality(*np.round(w, 9).tolist())
+
+
+def learned_weight(docs: DataFrame, labels: DataFrame) -> Column:
+    """The weight of a document's draw: what labels teach, else the plain share of `quality`."""
+    model = fit_quality(docs, labels)
+    return model.weight(F.col("text")) if model else quality(F.col("text"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:

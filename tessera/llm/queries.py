@@ -23,7 +23,8 @@ def op2_license_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.taken(table(spark, d, "documents"))
+    docs = table(spark, d, "documents")
+    return mixing.taken(docs, weight=mixing.learned_weight(docs, table(spark, d, "labels")))
 
 
 def op4_exact_top_k(spark: SparkSession, d: str) -> DataFrame:

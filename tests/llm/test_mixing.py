@@ -154,3 +154,23 @@ def test_buckets_stay_small_whatever_the_weights(spark):
     key = -F.log((F.pmod(F.xxhash64(F.lit(0), M.row_keys(docs)[0]), F.lit(1 << 52)) + 0.5) / float(1 << 52)) / M.quality(F.col("text"))
     most = docs.groupBy(F.floor(F.log(key) * n)).count().agg(F.max("count")).first()[0]
     assert most < 200_000 / (math.e * n) * 1.2
+
+
+def test_quality_is_learned_from_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = M.fit_quality(docs, labels)
+    assert model == M.fit_quality(docs.repartition(3), labels.repartition(2))
+    rows = docs.join(labels, "doc_id").select("quality", M.F.col("text").alias("t"), model.weight(F.col("text")).alias("w")).collect()
+    good, bad = ([r.w for r in rows if r.quality == q] for q in (1, 0))
+    # A text is drawn by what the labels say: a good one outweighs a bad one far more often than not.
+    assert sum(g > b for g in good for b in bad) + 0.5 * sum(g == b for g in good for b in bad) > 0.7 * len(good) * len(bad)
+    for r in rows[:50]:
+        noise = sum(c in M.NOISE for c in r.t) / max(1, len(r.t))
+        z = model.bias + model.noise * noise + model.noise2 * noise**2 + model.length * math.log1p(len(r.t))
+        assert r.w == pytest.approx(max(0.05, 1 / (1 + math.exp(-z))))
+    one = labels.where("quality = 1")
+    assert M.fit_quality(docs, one) is None and M.fit_quality(docs, labels.limit(0)) is None and M.fit_quality(no_docs(spark), labels) is None
+    assert M.taken(docs, weight=M.learned_weight(docs, one)).count() == docs.count()
+    odd = odd_docs(spark)
+    some = spark.createDataFrame([(1, 1), (2, 0), (7, 0), (None, 1), (9, 1), (8, 3)], "doc_id long, quality int")
+    assert M.taken(odd, weight=M.learned_weight(odd, some)).count() == odd.count()
