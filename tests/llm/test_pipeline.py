@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import decontaminate, language, mixing
@@ -48,13 +49,14 @@ def known_language(model, text):
     return votes.max() >= votes.sum() / 3
 
 
-def copies_of(docs):
-    """How often the mix takes each document."""
+def copies_of(docs, model):
+    """How often the mix takes each document, drawn by the labels' model."""
     size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in docs}
     of = defaultdict(list)
     for r in docs:
         row_key = signed(spark_hash(("q", r.doc_id), ("s", r.text), ("s", r.lang), ("s", r.source), ("q", r.n_chars)))
-        quality = max(0.05, sum(c not in mixing.NOISE for c in r.text) / max(1, len(r.text)))
+        noise = sum(c in mixing.NOISE for c in r.text) / max(1, len(r.text))
+        quality = max(0.05, 1 / (1 + math.exp(-(model.bias + model.noise * noise + model.noise2 * noise**2 + model.length * math.log1p(len(r.text))))))
         key = -math.log(uniform(spark_hash(("i", 0), ("q", row_key)))) / quality
         of[r.source].append((key, r.doc_id))
     total = {s: sum(size[i] for _, i in rows) for s, rows in of.items()}
@@ -80,7 +82,8 @@ def test_against_plain_python(spark):
     kept = sorted(one_of_each([(i, rows[i].text) for i in kept]))
     bench = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
     kept = sorted(set(kept) - {d for d, _ in leaks([(i, rows[i].text) for i in kept], bench)})
-    copies = copies_of([rows[i] for i in kept])
+    model = mixing.fit_quality(docs.where(F.col("doc_id").isin(kept)), table(spark, SF, "labels"))
+    copies = copies_of([rows[i] for i in kept], model)
     want = sorted((i, len(rows[i].text.encode()) + 8, zlib.crc32(rows[i].text.encode()), shard_of(i, 24), shard_of(i, 25)) for i in kept for _ in range(copies[i]))
     got = corpus_pipeline.run(spark, SF).collect()
     assert sorted((r.doc_id, r.size, r.text_crc32, r.shard, r.grown_shard) for r in got) == want
