@@ -16,27 +16,27 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language stay."""
+    """Documents in a language that was learned stay, those that mix languages too; see keep_identified for nulls and empty texts."""
     return language.keep_identified(docs, language.fit(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: one document of each group with five-word Jaccard similarity of 0.8 or more stays."""
+    """SimHash near-dedup: one document of each group with five-word Jaccard similarity of 0.8 or more stays; all null and empty texts are one group."""
     return nearcopies.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages stay."""
+    """Documents without benchmark passages stay, null and empty texts too."""
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's share of the mix takes them."""
-    return mixing.mix(docs)
+    """Documents as often as their source's share of the mix takes them, good ones by the labels first."""
+    return mixing.mix(docs, weight=mixing.learned_weight(docs, table(spark, sf_dir, "labels")))
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's shard and slot."""
+    """Each document's shard and slot; nulls and repeated rows have theirs."""
     return sharding.assign(docs)
 
 
