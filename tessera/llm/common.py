@@ -63,6 +63,7 @@ def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return single.unionAll(equal).select("row.*")
 
 
+EDGES_A_FILE = 1 << 18
 COPIES_AT_ONCE = 4096  # equal rows that a task makes at once
 
 
@@ -86,15 +87,17 @@ def components(edges: DataFrame) -> DataFrame:
     """
     state = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _signature(state)
+    # Few edges make few files.
+    files = max(1, -(-before[0] // EDGES_A_FILE))
     while before[0]:
         both = state.union(state.select("b", "a")).toDF("u", "v")
         # Minima are written: the join's sides are then plain shuffles, and a hub's rows can be split.
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")).coalesce(files))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = written(large)
-        least = written(large.groupBy("a").agg(F.min("b").alias("m")))
+        large = written(large.coalesce(files))
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")).coalesce(files))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        state = written(small.union(least).distinct())
+        state = written(small.union(least).distinct().coalesce(files))
         now = _signature(state)
         if now == before:
             break

@@ -11,12 +11,19 @@ A shard's fingerprints go into a BK-tree, children keyed by their Hamming distan
 search follows only edges within the radius. A second fingerprint thins out what it finds: over both,
 related sets differ in 19 of 128 bits, unrelated ones in 64. The rest is compared by whole sets. A first
 round reports a spanning forest of what each shard's tree found; as members come in the order of their
-sizes and ids, the shards of a large group of near-copies report much the same links. The second round
-reports what is left: pairs whose members the links so far leave in different components.
+sizes and ids, the shards of a large group of near-copies report much the same links.
+
+The second round is for shards that the links so far leave in several components. Its shards are finer:
+sets of similarity t or more share a member among the first n - ceil(t n) + 1 of each, whatever order all
+shingles are put in. This order takes last what is common in a bounded sample, and thus first what sets
+the members of a family apart; it decides how large shards are, not which links are found. A shard
+reports pairs of different components within the radius, as far as the places of the shared member
+leave room for the similarity (members before it are in one of the two only).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,6 +37,7 @@ from tessera.llm.simhash import SEED, SHARD_ROWS, BKTree, ones_of, pieces
 
 SHINGLE, LEAST, RADIUS, RADIUS_OF_BOTH = 5, 0.8, 24, 40
 KEYS, SKETCH = 8, 16
+SAMPLE_ROWS, COMMON = 10_000, 100_000  # rows that the second round's order is taken from (in expectation), shingles that it knows
 EPS = 1e-9
 MIX = np.uint64(0x9E3779B97F4A7C15)  # makes other hashes of a shingle for the second fingerprint
 
@@ -73,21 +81,41 @@ def second(s: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _sketches(keyed: DataFrame, size: int) -> DataFrame:
-    """(doc_id, key0, key1, id, n, fp, fp2, sketch): id is a sum of the set, n its size, fp and fp2 its fingerprints, sketch its smallest hashes, as signed longs."""
-    kinds = {"id": pa.int64(), "n": pa.int32(), "fp": pa.int64(), "fp2": pa.int64(), "sketch": pa.list_(pa.int64())}
+def _common(keyed: DataFrame, size: int, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several rows of a sample have, sorted, and in how many."""
+    span = 1 << 30
+    part = keyed.where(F.pmod("key0", F.lit(span)) < min(span, -(-span * sample_rows // max(1, keyed.count()))))
+    counts = _sets(part, size, "key0").select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    top = counts.orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
+    h, n = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _sketches(keyed: DataFrame, size: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, key0, key1, id, n, fp, fp2, sketch, prefix): id is a sum of the set, n its size, fp and fp2 its fingerprints, sketch its smallest hashes, prefix its first ones in the second round's order, as signed longs."""
+    kinds = {"id": pa.int64(), "n": pa.int32(), "fp": pa.int64(), "fp2": pa.int64(), "sketch": pa.list_(pa.int64()), "prefix": pa.list_(pa.int64())}
+    known, often = common
+
+    def prefix(s: np.ndarray) -> np.ndarray:
+        rank = np.zeros(len(s), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            rank = np.where(known[at] == s, often[at], 0)
+        return s[np.lexsort((s, rank))[: len(s) - math.ceil(least * len(s) - EPS) + 1]].view(np.int64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for t in batch.column("text").cast(pa.binary()):
-                s = shingles(t.as_py(), size)
-                fps = np.array([xxhash.xxh3_64_intdigest(s.tobytes()), set_fingerprint(s), set_fingerprint(second(s))], np.uint64).view(np.int64).tolist()
-                rows.append((fps[0], len(s), fps[1], fps[2], s[:SKETCH].view(np.int64)))
-            made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "key0", "key1")), *made], names=["doc_id", "key0", "key1", *kinds])
+            for a in range(0, batch.num_rows, 1024):
+                part, rows = batch.slice(a, 1024), []
+                for t in part.column("text").cast(pa.binary()):
+                    s = shingles(t.as_py(), size)
+                    fps = np.array([xxhash.xxh3_64_intdigest(s.tobytes()), set_fingerprint(s), set_fingerprint(second(s))], np.uint64).view(np.int64).tolist()
+                    rows.append((fps[0], len(s), fps[1], fps[2], s[:SKETCH].view(np.int64), prefix(s)))
+                made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())]
+                yield pa.RecordBatch.from_arrays([*map(part.column, ("doc_id", "key0", "key1")), *made], names=["doc_id", "key0", "key1", *kinds])
 
-    return keyed.mapInArrow(run, "doc_id long, key0 long, key1 long, id long, n int, fp long, fp2 long, sketch array<long>")
+    return keyed.mapInArrow(run, "doc_id long, key0 long, key1 long, id long, n int, fp long, fp2 long, sketch array<long>, prefix array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -126,16 +154,21 @@ class Members:
                 label[np.isin(label, labels)] = label[node]
         return out
 
-    def apart(self, roots: np.ndarray, first: int) -> list[tuple[int, int]]:
-        """All pairs that may be similar and have different roots: one before `first` and one from it on, or any if `first` is 0."""
-        out = []
+    def apart(self, roots: np.ndarray, places: np.ndarray, first: int) -> list[tuple[int, int]]:
+        """All pairs that may be similar and have different roots: one before `first` and one from it on, or any if `first` is 0.
+
+        places: of the shared member in the order of each set; all that both sets have comes from there on.
+        """
+        out, left = [], self.sizes - places
         for node, hits in self.near(first or len(self.fps), first):
-            out += [(node, q) for q in hits[roots[hits] != roots[node]].tolist() if first or q > node]
+            needed = self.least / (1 + self.least) * (self.sizes[hits] + self.sizes[node])
+            hits = hits[(roots[hits] != roots[node]) & (np.minimum(left[hits], left[node]) >= needed - EPS)]
+            out += [(node, q) for q in hits.tolist() if first or q > node]
         return out
 
 
 def _pairs(rows: DataFrame, radius: int, least: float) -> DataFrame:
-    """rows (h, lo, hi, part, id, n, fp, fp2, root), dealt and sorted by (h, lo, hi): candidate pairs (a, b).
+    """rows (h, lo, hi, part, id, n, fp, fp2, root, place), dealt and sorted by (h, lo, hi): candidate pairs (a, b).
 
     Without roots (null) a spanning forest of each (h, lo, hi); with roots all pairs between different ones, of a pair of parts those that it has between them.
     """
@@ -153,7 +186,7 @@ def _pairs(rows: DataFrame, radius: int, least: float) -> DataFrame:
             if held[0][5] is None:
                 found = some.forest()
             elif (first := sum(m[0] == key[1] for m in held) % len(held)) or key[1] == key[2]:
-                found = some.apart(np.array([m[5] for m in held]), first)
+                found = some.apart(np.array([m[5] for m in held]), np.array([m[6] for m in held]), first)
             else:
                 found = []
             out.update((min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in found if ids[i] != ids[j])
@@ -165,7 +198,7 @@ def _pairs(rows: DataFrame, radius: int, least: float) -> DataFrame:
 
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in ("h", "lo", "hi")))
-            for k, *member in zip(keys, *(batch.column(c).to_pylist() for c in ("part", "id", "n", "fp", "fp2", "root"))):
+            for k, *member in zip(keys, *(batch.column(c).to_pylist() for c in ("part", "id", "n", "fp", "fp2", "root", "place"))):
                 if k != key:
                     close()
                     key, held = k, []
@@ -175,7 +208,7 @@ def _pairs(rows: DataFrame, radius: int, least: float) -> DataFrame:
         close()
         yield pack()
 
-    dealt = rows.select("h", "lo", "hi", "part", "id", "n", "fp", "fp2", "root").repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
+    dealt = rows.select("h", "lo", "hi", "part", "id", "n", "fp", "fp2", "root", "place").repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -196,12 +229,12 @@ def shards(firsts: DataFrame, shard_rows: int) -> DataFrame:
 
 
 def linked(firsts: DataFrame, keyed: DataFrame, size: int, least: float, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(node, root) of the sets in firsts (id, n, fp, fp2, sketch, first) that have a partner."""
+    """(node, root) of the sets in firsts (id, n, fp, fp2, sketch, prefix, first) that have a partner."""
     shared = shards(firsts, shard_rows)
     # The first member of a shard in several parts is in each of them.
     heads = shared.where("parts > 1").groupBy("h").agg(F.min(F.struct("n", "id", "fp", "fp2", "parts")).alias("m"))
     heads = heads.select("h", "m.id", "m.n", "m.fp", "m.fp2", F.explode(F.sequence(F.lit(0), F.col("m.parts") - 1)).alias("part"))
-    alone = lambda rows: rows.select("h", F.col("part").alias("lo"), F.col("part").alias("hi"), "part", *MEMBER, F.lit(None).cast("long").alias("root"))
+    alone = lambda rows: rows.select("h", F.col("part").alias("lo"), F.col("part").alias("hi"), "part", *MEMBER, F.lit(None).cast("long").alias("root"), F.lit(0).alias("place"))
     tried = written(_pairs(alone(shared).unionAll(alone(heads)), radius, least).distinct())
     needed = written(tried.select("a").union(tried.select("b")).distinct().toDF("id"))
 
@@ -214,17 +247,22 @@ def linked(firsts: DataFrame, keyed: DataFrame, size: int, least: float, radius:
     links = written(_verified(tried, sets, least))
     of = components(links).toDF("id", "root")
 
-    named = written(shared.join(of, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    named = shared.join(of, "id", "left").select("h", "id", F.coalesce("root", "id").alias("root"))
+    named = written(named)
     mixed = named.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("h")
-    left = named.join(mixed, "h").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    left = left.select("h", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", *MEMBER, "root")
+    open_ = written(named.join(mixed, "h").select("id", "root").distinct())
+    entries = firsts.join(open_, "id").select(*MEMBER, "root", F.posexplode("prefix").alias("place", "h"))
+    counts = entries.groupBy("h").agg(F.count("*").alias("c"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
+    left = entries.join(written(counts.select("h", F.ceil(F.col("c") / shard_rows).cast("int").alias("parts"))), "h")
+    left = left.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left = left.select("h", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", *MEMBER, "root", "place")
     more = written(_pairs(left, radius, least).distinct().join(tried, ["a", "b"], "left_anti"))
     # A set that only the second round asks for wasn't read in the first.
     unread = more.select("a").union(more.select("b")).distinct().toDF("id").join(needed, "id", "left_anti")
     return components(links.union(_verified(more, sets.union(sets_of(written(unread))), least)))
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents without near-copies: one row of each group stays; the columns are those of `docs`.
 
     A group is what links of Jaccard similarity `least` or more connect. Words are as in SimHash: split at
@@ -235,9 +273,9 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, radi
     """
     key0, key1 = row_keys(docs)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key0.alias("key0"), key1.alias("key1"))
-    rows = _sketches(keyed, shingle)
+    rows = _sketches(keyed, shingle, least, _common(keyed, shingle, sample_rows))
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key0", "key1")
-    firsts = written(rows.groupBy("id").agg(F.min(place).alias("first"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("fp2").alias("fp2"), F.any_value("sketch").alias("sketch")))
+    firsts = written(rows.groupBy("id").agg(F.min(place).alias("first"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("fp2").alias("fp2"), F.any_value("sketch").alias("sketch"), F.any_value("prefix").alias("prefix")))
     groups = linked(firsts, keyed, shingle, least, radius, shard_rows).toDF("id", "root")
     kept = firsts.select("id", "first").join(groups, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
     return keep_rows(docs, kept.select("first.key0", "first.key1"))

@@ -28,8 +28,8 @@ def test_stage_on_a_table(spark):
     assert {r.doc_id for r in got} == kept([(r.doc_id, r.text) for r in docs.collect()]) and 177 not in {r.doc_id for r in got}
 
 
-@pytest.mark.parametrize("shard_rows", [4096, 5])
-def test_against_all_pairs(spark, shard_rows):
+@pytest.mark.parametrize("shard_rows,sample_rows", [(4096, 10_000), (5, 1)])
+def test_against_all_pairs(spark, shard_rows, sample_rows):
     rng, texts = corpus(3, 60, low=1, high=120)
     rng = random.Random(4)
     for base in texts[:12]:  # chains of copies with edits, around a passage that many share
@@ -40,7 +40,7 @@ def test_against_all_pairs(spark, shard_rows):
             texts.append(base + texts[20][:8] * (rng.random() < 0.3))
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert {r.doc_id for r in N.keep_one(docs, shard_rows=shard_rows).collect()} == kept(rows)
+    assert {r.doc_id for r in N.keep_one(docs, shard_rows=shard_rows, sample_rows=sample_rows).collect()} == kept(rows)
 
 
 def test_odd_and_empty(spark):
@@ -69,7 +69,26 @@ def test_few_pairs_in_a_large_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     key0, key1 = N.row_keys(docs)
     keyed = docs.select("doc_id", "text", key0.alias("key0"), key1.alias("key1"))
-    members = N.shards(N._sketches(keyed, 5), 4096).withColumns({"lo": N.F.col("part"), "hi": N.F.col("part"), "root": N.F.lit(None).cast("long")})
+    common = N._common(keyed, 5, 1000)
+    members = N.shards(N._sketches(keyed, 5, 0.8, common), 4096).withColumns({"lo": N.F.col("part"), "hi": N.F.col("part"), "root": N.F.lit(None).cast("long"), "place": N.F.lit(0)})
     pairs = N._pairs(members, N.RADIUS, N.LEAST).distinct().count()
     assert 399 <= pairs < 400 * 8
     assert [r.doc_id for r in N.keep_one(docs).collect()] == [0]
+
+
+def test_a_family_just_below_the_limit_makes_few_pairs(spark, monkeypatch):
+    """Hundreds of texts of one origin, each pair a little too different: they aren't compared pair by pair."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(900)}" for _ in range(300)]
+    rows = []
+    for i in range(300):
+        text = list(base)
+        for _ in range(9):
+            text[rng.randrange(300)] = f"x{rng.random()}"
+        rows.append((i, " ".join(text)))
+    seen = []
+    verified = N._verified
+    monkeypatch.setattr(N, "_verified", lambda pairs, sets, least: (seen.append(pairs.count()), verified(pairs, sets, least))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in N.keep_one(docs).collect()} == kept(rows)
+    assert len(seen) == 2 and seen[0] < 300 * 8 and seen[1] < 300 * 10
