@@ -28,14 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared folder: lineage ends there, a lost executor costs a reread.
 
-    The files go when the driver's JVM ends.
+    The files go when the driver's JVM ends, or with `drop`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4()}"
     df.write.parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = hadoop
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables from `written` that no later step reads."""
+    for t in tables:
+        t.written_to.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(t.written_to, True)
 
 
 def row_keys(df: DataFrame) -> tuple[Column, Column]:
@@ -92,12 +100,14 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = state.union(state.select("b", "a")).toDF("u", "v")
         # Minima are written: the join's sides are then plain shuffles, and a hub's rows can be split.
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")).coalesce(files))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        first = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")).coalesce(files))
+        large = both.join(first, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         large = written(large.coalesce(files))
+        drop(state, first)
         least = written(large.groupBy("a").agg(F.min("b").alias("m")).coalesce(files))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         state = written(small.union(least).distinct().coalesce(files))
+        drop(large, least)
         now = _signature(state)
         if now == before:
             break

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import drop, written
 
 MIN_WORDS = 50
 DOC = "doc_id long, doc_key long"
@@ -253,20 +253,24 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = written(_lines(docs))
     ranks = _ranked(lines)
     stretches = _stretches(lines.join(ranks, ["a", "b"]), min_words)
+    drop(lines, ranks)
     longest = stretches.agg(F.max(F.array_max("width"))).first()[0] or 0
     nothing = stretches.select("doc_id", "doc_key", F.col("number").alias("lines"))
     if not longest:
         return nothing.limit(0)
-    state, pieces, level = stretches, [_beginnings(stretches, 0)], 0
+    states, pieces, level = [stretches], [_beginnings(stretches, 0)], 0
     while (2 << level) <= longest:
-        pairs = _pairs(state, 1 << level)
-        state = _gathered(pairs.join(_ranked(pairs), ["a", "b"]))
+        pairs = _pairs(states[-1], 1 << level)
+        ranks = _ranked(pairs)
+        states.append(_gathered(pairs.join(ranks, ["a", "b"])))
+        drop(ranks)
         level += 1
-        pieces.append(_beginnings(state, level))
+        pieces.append(_beginnings(states[-1], level))
     beginnings = pieces[0]
     for p in pieces[1:]:
         beginnings = beginnings.unionAll(p)
     beginnings = written(beginnings)
+    drop(*states[1:])
     key = ["width", "ra", "rb"]
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_key", "i")
     # Written: the join's sides are then plain shuffles, and a common run's rows can be split.
@@ -275,6 +279,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     inside = (F.col("doc_key") == F.col("first.doc_key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
     some = some.withColumn("from_i", F.when(inside, F.col("first.i") + F.col("width")).otherwise(0))
     suffixes = _suffixes(some.select("doc_id", "doc_key", "i", *key, "from_i"), stretches)
+    drop(beginnings, first, stretches)
     walked = _walked(suffixes).toDF("ca", "cb", "at_doc", "at_key", "at_i", "most")
     rows = suffixes.withColumns({"ca": F.xxhash64("lines"), "cb": F.xxhash64(F.lit(1), "lines")}).join(walked, ["ca", "cb"])
     leads = (F.col("doc_key") == F.col("at_key")) & F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("i") == F.col("at_i"))
