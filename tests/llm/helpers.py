@@ -2,7 +2,7 @@
 
 import random
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, shard string, size string, key string, line string, a string, rank string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, shard string, size string, key string, line string, a string, rank string, key0 string, row string, of string, cut string"
 
 
 def odd_docs(spark):
@@ -22,7 +22,7 @@ def odd_docs(spark):
         (9, "été à la plage avec nous", "fr", "s3"),
         (10, "\n".join(["same line again and again"] * 40), "en", "s3"),
     ]
-    return spark.createDataFrame([(i, t, g, s, None, "x", None, "y", "k", "l", None, "r") for i, t, g, s in rows], DOCS)
+    return spark.createDataFrame([(i, t, g, s, None, "x", None, "y", "k", "l", None, "r", "0", None, "o", "c") for i, t, g, s in rows], DOCS)
 
 
 def no_docs(spark):
