@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 import struct
-from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
