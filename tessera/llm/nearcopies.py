@@ -9,9 +9,11 @@ hash with each other one of their `SKETCH` smallest; what is still too large is
 
 A shard's fingerprints go into a BK-tree, children keyed by their Hamming distance to the parent, and a
 search follows only edges within the radius. A second fingerprint thins out what it finds: over both,
-related sets differ in 19 of 128 bits, unrelated ones in 64. The rest is compared by whole sets. A first
-round reports a spanning forest of what each shard's tree found; as members come in the order of their
-sizes and ids, the shards of a large group of near-copies report much the same links.
+related sets differ in 19 of 128 bits, unrelated ones in 64. So does a parity map: 1,024 bits, each the
+parity of the shingles that hash to it. Two maps differ in no more bits than the sets have members that are
+in one only, so that a pair with too many is no link for certain. The rest is compared by whole sets. A first
+round reports what connects all that each shard's tree found: every member with its nearest one, which for
+copies of one text is that text if it is there, and so much the same in all shards, then these with each other.
 
 The second round is for shards that the links so far leave in several components. Its shards are finer:
 sets of similarity t or more share a member among the first n - ceil(t n) + 1 of each, whatever order all
@@ -36,7 +38,7 @@ from tessera.llm.common import components, keep_rows, row_keys, written
 from tessera.llm.simhash import SEED, SHARD_ROWS, BKTree, ones_of, pieces
 
 SHINGLE, LEAST, RADIUS, RADIUS_OF_BOTH = 5, 0.8, 24, 40
-KEYS, SKETCH = 8, 16
+KEYS, SKETCH, PARITIES = 8, 16, 1024
 SAMPLE_ROWS, COMMON = 10_000, 100_000  # rows that the second round's order is taken from (in expectation), shingles that it knows
 EPS = 1e-9
 MIX = np.uint64(0x9E3779B97F4A7C15)  # makes other hashes of a shingle for the second fingerprint
@@ -81,6 +83,11 @@ def second(s: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def parities(s: np.ndarray) -> bytes:
+    """Of each of the map's bits whether an odd number of the set's members hash to it."""
+    return np.packbits(np.bincount((second(s) % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).tobytes()
+
+
 def _common(keyed: DataFrame, size: int, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several rows of a sample have, sorted, and in how many."""
     span = 1 << 30
@@ -93,8 +100,8 @@ def _common(keyed: DataFrame, size: int, sample_rows: int) -> tuple[np.ndarray,
 
 
 def _sketches(keyed: DataFrame, size: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, key0, key1, id, n, fp, fp2, sketch, prefix): id is a sum of the set, n its size, fp and fp2 its fingerprints, sketch its smallest hashes, prefix its first ones in the second round's order, as signed longs."""
-    kinds = {"id": pa.int64(), "n": pa.int32(), "fp": pa.int64(), "fp2": pa.int64(), "sketch": pa.list_(pa.int64()), "prefix": pa.list_(pa.int64())}
+    """(doc_id, key0, key1, id, n, fp, fp2, odd, sketch, prefix): id is a sum of the set, n its size, fp and fp2 its fingerprints, odd its parities, sketch its smallest hashes, prefix its first ones in the second round's order, as signed longs."""
+    kinds = {"id": pa.int64(), "n": pa.int32(), "fp": pa.int64(), "fp2": pa.int64(), "odd": pa.binary(), "sketch": pa.list_(pa.int64()), "prefix": pa.list_(pa.int64())}
     known, often = common
 
     def prefix(s: np.ndarray) -> np.ndarray:
@@ -111,11 +118,11 @@ def _sketches(keyed: DataFrame, size: int, least: float, common: tuple[np.ndarra
                 for t in part.column("text").cast(pa.binary()):
                     s = shingles(t.as_py(), size)
                     fps = np.array([xxhash.xxh3_64_intdigest(s.tobytes()), set_fingerprint(s), set_fingerprint(second(s))], np.uint64).view(np.int64).tolist()
-                    rows.append((fps[0], len(s), fps[1], fps[2], s[:SKETCH].view(np.int64), prefix(s)))
+                    rows.append((fps[0], len(s), fps[1], fps[2], parities(s), s[:SKETCH].view(np.int64), prefix(s)))
                 made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())]
                 yield pa.RecordBatch.from_arrays([*map(part.column, ("doc_id", "key0", "key1")), *made], names=["doc_id", "key0", "key1", *kinds])
 
-    return keyed.mapInArrow(run, "doc_id long, key0 long, key1 long, id long, n int, fp long, fp2 long, sketch array<long>, prefix array<long>")
+    return keyed.mapInArrow(run, "doc_id long, key0 long, key1 long, id long, n int, fp long, fp2 long, odd binary, sketch array<long>, prefix array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -131,26 +138,44 @@ def _fits(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
 
 
 class Members:
-    """Fingerprints and sizes of some sets, searched together."""
+    """Fingerprints, sizes and parities of some sets, searched together."""
 
-    def __init__(self, fps: np.ndarray, seconds: np.ndarray, sizes: np.ndarray, radius: int, least: float):
-        self.fps, self.seconds, self.sizes, self.radius, self.least = fps, seconds, sizes, radius, least
+    def __init__(self, fps: np.ndarray, seconds: np.ndarray, sizes: np.ndarray, odd: np.ndarray, radius: int, least: float):
+        self.fps, self.seconds, self.sizes, self.odd, self.radius, self.least = fps, seconds, sizes, odd, radius, least
 
-    def near(self, tree: int, first: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(position, positions that may be similar), the one of the first `tree` members, the others from `first` on."""
+    def near(self, tree: int, first: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(position, positions that may be similar, their distances), the one of the first `tree` members, the others from `first` on."""
         for node, hits in BKTree(self.fps[:tree].tolist()).search(self.fps[first:], self.radius):
             hits = hits + first
-            both = np.bitwise_count(self.fps[hits] ^ self.fps[node]) + np.bitwise_count(self.seconds[hits] ^ self.seconds[node])
-            yield node, hits[(both <= RADIUS_OF_BOTH) & _fits(self.sizes[hits], self.sizes[node], self.least)]
+            both = np.bitwise_count(self.fps[hits] ^ self.fps[node]).astype(np.int16) + np.bitwise_count(self.seconds[hits] ^ self.seconds[node])
+            some = (both <= RADIUS_OF_BOTH) & _fits(self.sizes[hits], self.sizes[node], self.least)
+            hits, both = hits[some], both[some]
+            most = (1 - self.least) / (1 + self.least) * (self.sizes[hits] + self.sizes[node])
+            some = np.bitwise_count(self.odd[hits] ^ self.odd[node]).sum(1) <= most + EPS
+            yield node, hits[some], both[some]
 
     def forest(self) -> list[tuple[int, int]]:
-        """Pairs that connect all that may be similar."""
-        label, out = np.arange(len(self.fps)), []
-        for node, hits in self.near(len(self.fps), 0):
-            hits = hits[label[hits] != label[node]]
+        """Pairs that connect all that may be similar: each with its nearest, then what links these to each other.
+
+        The text that a family comes from is nearer to all of its copies than they are to each other.
+        """
+        n = len(self.fps)
+        nearest, apart = np.full(n, -1), np.full(n, 2 * RADIUS_OF_BOTH)
+        for node, hits, far in self.near(n, 0):
+            better = (far < apart[hits]) & (hits != node)
+            nearest[hits[better]], apart[hits[better]] = node, far[better]
+        out = [(int(q), int(nearest[q])) for q in np.flatnonzero(nearest >= 0)]
+        label = np.arange(n)
+        for a, b in out:
+            if label[a] != label[b]:
+                label[label == label[a]] = label[b]
+        for node, hits, far in self.near(n, 0) if len(set(label[nearest >= 0].tolist())) > 1 else ():
+            other = label[hits] != label[node]
+            hits, far = hits[other], far[other]
             if len(hits):
-                labels, first = np.unique(label[hits], return_index=True)
-                out += [(node, q) for q in hits[first].tolist()]
+                order = np.lexsort((far, label[hits]))
+                labels, first = np.unique(label[hits][order], return_index=True)
+                out += [(node, q) for q in hits[order][first].tolist()]
                 label[np.isin(label, labels)] = label[node]
         return out
 
@@ -160,7 +185,7 @@ class Members:
         places: of the shared member in the order of each set; all that both sets have comes from there on.
         """
         out, left = [], self.sizes - places
-        for node, hits in self.near(first or len(self.fps), first):
+        for node, hits, _ in self.near(first or len(self.fps), first):
             needed = self.least / (1 + self.least) * (self.sizes[hits] + self.sizes[node])
             hits = hits[(roots[hits] != roots[node]) & (np.minimum(left[hits], left[node]) >= needed - EPS)]
             out += [(node, q) for q in hits.tolist() if first or q > node]
@@ -168,7 +193,7 @@ class Members:
 
 
 def _pairs(rows: DataFrame, radius: int, least: float) -> DataFrame:
-    """rows (h, lo, hi, part, id, n, fp, fp2, root, place), dealt and sorted by (h, lo, hi): candidate pairs (a, b).
+    """rows (h, lo, hi, part, id, n, fp, fp2, odd, root, place), dealt and sorted by (h, lo, hi): candidate pairs (a, b).
 
     Without roots (null) a spanning forest of each (h, lo, hi); with roots all pairs between different ones, of a pair of parts those that it has between them.
     """
@@ -182,7 +207,8 @@ def _pairs(rows: DataFrame, radius: int, least: float) -> DataFrame:
             # Of two parts the first one is the tree; the order is the same in all shards.
             held.sort(key=lambda m: (m[0] != key[1], m[2], m[1]))
             ids, sizes = [m[1] for m in held], np.array([m[2] for m in held])
-            some = Members(*(np.array([m[i] for m in held], np.int64).view(np.uint64) for i in (3, 4)), sizes, radius, least)
+            odd = np.frombuffer(b"".join(m[7] for m in held), np.uint64).reshape(len(held), -1)
+            some = Members(*(np.array([m[i] for m in held], np.int64).view(np.uint64) for i in (3, 4)), sizes, odd, radius, least)
             if held[0][5] is None:
                 found = some.forest()
             elif (first := sum(m[0] == key[1] for m in held) % len(held)) or key[1] == key[2]:
@@ -198,7 +224,7 @@ def _pairs(rows: DataFrame, radius: int, least: float) -> DataFrame:
 
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in ("h", "lo", "hi")))
-            for k, *member in zip(keys, *(batch.column(c).to_pylist() for c in ("part", "id", "n", "fp", "fp2", "root", "place"))):
+            for k, *member in zip(keys, *(batch.column(c).to_pylist() for c in ("part", "id", "n", "fp", "fp2", "root", "place", "odd"))):
                 if k != key:
                     close()
                     key, held = k, []
@@ -208,15 +234,15 @@ def _pairs(rows: DataFrame, radius: int, least: float) -> DataFrame:
         close()
         yield pack()
 
-    dealt = rows.select("h", "lo", "hi", "part", "id", "n", "fp", "fp2", "root", "place").repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
+    dealt = rows.select("h", "lo", "hi", "part", *MEMBER, "root", "place").repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-MEMBER = ("id", "n", "fp", "fp2")
+MEMBER = ("id", "n", "fp", "fp2", "odd")
 
 
 def shards(firsts: DataFrame, shard_rows: int) -> DataFrame:
-    """(h, id, n, fp, fp2, parts, part) of firsts (id, n, fp, fp2, sketch): the members of each shard of two or more."""
+    """(h, id, n, fp, fp2, odd, parts, part) of firsts (id, n, fp, fp2, odd, sketch): the members of each shard of two or more."""
     keys = firsts.select(*MEMBER, F.explode(F.slice("sketch", 1, KEYS)).alias("h"))
     counts = written(keys.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
     cool = keys.join(counts.where(F.col("c") <= shard_rows), "h").select("h", *MEMBER, F.lit(1).alias("parts"))
@@ -229,11 +255,11 @@ def shards(firsts: DataFrame, shard_rows: int) -> DataFrame:
 
 
 def linked(firsts: DataFrame, keyed: DataFrame, size: int, least: float, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(node, root) of the sets in firsts (id, n, fp, fp2, sketch, prefix, first) that have a partner."""
+    """(node, root) of the sets in firsts (id, n, fp, fp2, odd, sketch, prefix, first) that have a partner."""
     shared = shards(firsts, shard_rows)
     # The first member of a shard in several parts is in each of them.
-    heads = shared.where("parts > 1").groupBy("h").agg(F.min(F.struct("n", "id", "fp", "fp2", "parts")).alias("m"))
-    heads = heads.select("h", "m.id", "m.n", "m.fp", "m.fp2", F.explode(F.sequence(F.lit(0), F.col("m.parts") - 1)).alias("part"))
+    heads = shared.where("parts > 1").groupBy("h").agg(F.min(F.struct("n", "id", "fp", "fp2", "odd", "parts")).alias("m"))
+    heads = heads.select("h", "m.id", "m.n", "m.fp", "m.fp2", "m.odd", F.explode(F.sequence(F.lit(0), F.col("m.parts") - 1)).alias("part"))
     alone = lambda rows: rows.select("h", F.col("part").alias("lo"), F.col("part").alias("hi"), "part", *MEMBER, F.lit(None).cast("long").alias("root"), F.lit(0).alias("place"))
     tried = written(_pairs(alone(shared).unionAll(alone(heads)), radius, least).distinct())
     needed = written(tried.select("a").union(tried.select("b")).distinct().toDF("id"))
@@ -275,7 +301,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, radi
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key0.alias("key0"), key1.alias("key1"))
     rows = _sketches(keyed, shingle, least, _common(keyed, shingle, sample_rows))
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key0", "key1")
-    firsts = written(rows.groupBy("id").agg(F.min(place).alias("first"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("fp2").alias("fp2"), F.any_value("sketch").alias("sketch"), F.any_value("prefix").alias("prefix")))
+    firsts = written(rows.groupBy("id").agg(F.min(place).alias("first"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("fp2").alias("fp2"), F.any_value("odd").alias("odd"), F.any_value("sketch").alias("sketch"), F.any_value("prefix").alias("prefix")))
     groups = linked(firsts, keyed, shingle, least, radius, shard_rows).toDF("id", "root")
     kept = firsts.select("id", "first").join(groups, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
     return keep_rows(docs, kept.select("first.key0", "first.key1"))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -92,3 +93,12 @@ def test_a_family_just_below_the_limit_makes_few_pairs(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in N.keep_one(docs).collect()} == kept(rows)
     assert len(seen) == 2 and seen[0] < 300 * 8 and seen[1] < 300 * 10
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (0, 5, 150, 3000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 2**63, n // 3, dtype=np.uint64)]))
+        x, y = (int.from_bytes(N.parities(s)) for s in (a, b))
+        assert (x ^ y).bit_count() <= len(np.setxor1d(a, b))
