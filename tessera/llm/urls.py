@@ -19,7 +19,7 @@ LIMIT, MARGIN, STRENGTHS = 0.5, 1.28, (1.0, 1000.0)
 LONG_SUFFIXES = ("ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.tr", "gov.uk", "ne.jp", "org.uk")
 ADDRESS = r"^(\d{1,3}(\.\d{1,3}){3}|\[.*\])$"  # an IPv4 address, or IPv6 in brackets: a domain of its own, without a suffix
 # What a page's text is read from, and what makes it junk.
-UNSEEN, SYMBOLS, JUNK = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>", "!#$%&*+=?@^_~", 0.2
+UNSEEN, SYMBOLS, JUNK = r"(?is)<(?:script.*?</script>|style.*?</style>|!--.*?-->|[^>]*>)", r"[!#$%&*+=?@^_~]{3}", 0.2
 WORDS = r"[^\x20\x09-\x0D]+"
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
@@ -42,18 +42,14 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return found, verdict
 
 
-def _tripled() -> str:
-    return "|".join(f"[{c}]{{3}}" if c != "^" else "\\^{3}" for c in SYMBOLS)
-
-
 def page_outcomes(pages: DataFrame) -> DataFrame:
-    """(page_id, bad) of (page_id, html): 1 if the visible text is empty or a fifth of its words or more hold a symbol three times in a row.
+    """(page_id, bad) of (page_id, html): 1 if the visible text is empty or there are three symbols in a row as often as a fifth of its words or more.
 
     Null html has no outcome; repeated rows have one each.
     """
     seen = F.replace(F.regexp_replace(F.col("html").cast("string"), UNSEEN, " "), F.lit("&amp;"), F.lit("&"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), seen.alias("seen")).where("seen IS NOT NULL")
-    bad = F.regexp_count("seen", F.lit(_tripled())) >= JUNK * F.regexp_count("seen", F.lit(WORDS))
+    bad = F.regexp_count("seen", F.lit(SYMBOLS)) >= JUNK * F.regexp_count("seen", F.lit(WORDS))
     return rows.select("page_id", bad.cast("int").alias("bad"))
 
 
@@ -152,7 +148,7 @@ def judge_sql(rules=RULES, limit: float = LIMIT, margin: float = MARGIN) -> str:
   p AS (SELECT page_id, host, path, CASE WHEN address THEN array_to_string(parts, '.') ELSE array_to_string(parts[-k - 1:], '.') END AS domain,
     CASE WHEN address THEN '' ELSE array_to_string(parts[-k:], '.') END AS suffix FROM w),
   q AS (SELECT page_id, replace(regexp_replace(html, '{UNSEEN}', ' ', 'g'), '&amp;', '&') AS seen FROM pages),
-  l AS (SELECT page_id, max(CASE WHEN len(regexp_extract_all(seen, '{_tripled()}')) >= {JUNK} * len(regexp_extract_all(seen, '{WORDS}')) THEN 1 ELSE 0 END) AS bad
+  l AS (SELECT page_id, max(CASE WHEN len(regexp_extract_all(seen, '{SYMBOLS}')) >= {JUNK} * len(regexp_extract_all(seen, '{WORDS}')) THEN 1 ELSE 0 END) AS bad
     FROM q WHERE seen IS NOT NULL GROUP BY page_id),
   h AS (SELECT host, domain, suffix, CAST(count(*) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS bad FROM p JOIN l USING (page_id) GROUP BY ALL),
   d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
