@@ -55,20 +55,41 @@ def row_keys(df: DataFrame) -> tuple[Column, Column]:
     return F.xxhash64(*cols), F.xxhash64(*map(F.isnull, cols), *cols)
 
 
+MAP_BITS = 1 << 26  # of a map of numbers, at most: 8 MB, however many they are
+BUCKET_BITS = 1 << 15  # of one binary of bitmap_construct_agg
+
+
+def marked(rows: DataFrame, key: str, numbers: DataFrame) -> DataFrame:
+    """rows and a boolean `maybe`: false only where the long `key`, a hash, isn't among `numbers` (one column, from a written table).
+
+    A map of bits is broadcast, 64 a number up to MAP_BITS: with more numbers more rows are marked that needn't be.
+    """
+    bits = min(MAP_BITS, max(BUCKET_BITS, 1 << (64 * numbers.count() - 1).bit_length()))
+    at = F.pmod(F.col(numbers.columns[0]), F.lit(bits))
+    # Dealt first, so that a bucket's map is made once.
+    dealt = numbers.select(F.shiftright(at, 15).alias("bucket"), at.bitwiseAND(F.lit(BUCKET_BITS - 1)).alias("bit")).repartition("bucket")
+    maps = F.broadcast(dealt.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")))
+    at = F.pmod(F.col(key), F.lit(bits))
+    bit = at.bitwiseAND(F.lit(BUCKET_BITS - 1))
+    byte = F.conv(F.hex(F.substring("map", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    return rows.join(maps, F.shiftright(at, 15) == F.col("bucket"), "left").select(*rows.columns, maybe.alias("maybe"))
+
+
 def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """One row of docs for each of the keys (two columns, see row_keys); columns are those of docs, whatever their names.
 
-    Rows that are equal in every column share a key: only these are shuffled to leave one of each.
+    Rows whose key is neither left out nor that of several equal rows stay where they are: a map of such keys
+    tells them, and only what it marks is shuffled and looked up.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    slim = docs.select(*[k.alias(n) for k, n in zip(row_keys(docs), ("key0", "key1"))])
-    # Written: their sizes are known then, and texts need no shuffle while they are small.
-    keys, often = written(keys.toDF("key0", "key1")), written(slim.groupBy("key0", "key1").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-    keyed = docs.select(*[k.alias(n) for k, n in zip(row_keys(docs), ("key0", "key1"))], row)
     on = ["key0", "key1"]
-    single = keyed.join(keys.join(often, on, "left_anti"), on, "left_semi")
-    equal = keyed.join(keys.join(often, on, "left_semi"), on, "left_semi").dropDuplicates(on)
-    return single.unionAll(equal).select("row.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    named = [k.alias(n) for k, n in zip(row_keys(docs), on)]
+    keys = written(keys.toDF(*on))
+    found = docs.select(*named).groupBy(*on).agg(F.count("*").alias("n")).join(keys.withColumn("kept", F.lit(True)), on, "left")
+    keyed = marked(docs.select(*named, row), "key0", written(found.where("n > 1 or kept is null").select("key0")))
+    single = keyed.where(~F.col("maybe")).select("row.*")
+    return single.unionAll(keyed.where("maybe").drop("maybe").dropDuplicates(on).join(keys, on, "left_semi").select("row.*"))
 
 
 EDGES_A_FILE = 1 << 18

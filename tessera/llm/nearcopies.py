@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, keep_rows, row_keys, written
+from tessera.llm.common import components, drop, keep_rows, marked, row_keys, written
 from tessera.llm.simhash import SEED, SHARD_ROWS, BKTree, ones_of, pieces
 
 SHINGLE, LEAST, RADIUS, RADIUS_OF_BOTH = 5, 0.8, 24, 40
@@ -243,15 +243,17 @@ MEMBER = ("id", "n", "fp", "fp2", "odd")
 
 def shards(firsts: DataFrame, shard_rows: int) -> DataFrame:
     """(h, id, n, fp, fp2, odd, parts, part) of firsts (id, n, fp, fp2, odd, sketch): the members of each shard of two or more."""
-    keys = firsts.select(*MEMBER, F.explode(F.slice("sketch", 1, KEYS)).alias("h"))
+    # Fingerprints and maps join only what is left in the end: until then a member is its id.
+    keys = firsts.select("id", F.explode(F.slice("sketch", 1, KEYS)).alias("h"))
     counts = written(keys.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
-    cool = keys.join(counts.where(F.col("c") <= shard_rows), "h").select("h", *MEMBER, F.lit(1).alias("parts"))
-    hot = keys.select("h", "id").join(counts.where(F.col("c") > shard_rows), "h").select("h", "id")
-    again = hot.join(firsts.select(*MEMBER, "sketch"), "id").withColumn("other", F.explode("sketch")).where("other <> h")
-    again = written(again.select(F.xxhash64("h", "other").alias("h"), *MEMBER))
-    counts = again.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    again = again.join(counts, "h").select("h", *MEMBER, F.ceil(F.col("c") / shard_rows).cast("int").alias("parts"))
-    return written(cool.unionAll(again).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
+    cool = keys.join(counts.where(F.col("c") <= shard_rows), "h").select("h", "id", F.lit(1).alias("parts"))
+    hot = keys.join(counts.where(F.col("c") > shard_rows), "h").select("h", "id")
+    again = hot.join(firsts.select("id", "sketch"), "id").withColumn("other", F.explode("sketch")).where("other <> h")
+    again = written(again.select(F.xxhash64("h", "other").alias("h"), "id"))
+    counts = written(again.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
+    again = again.join(counts, "h").select("h", "id", F.ceil(F.col("c") / shard_rows).cast("int").alias("parts"))
+    members = cool.unionAll(again).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    return written(members.join(firsts.select(*MEMBER), "id").select("h", *MEMBER, "parts", "part"))
 
 
 def linked(firsts: DataFrame, keyed: DataFrame, size: int, least: float, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -265,9 +267,10 @@ def linked(firsts: DataFrame, keyed: DataFrame, size: int, least: float, radius:
     needed = written(tried.select("a").union(tried.select("b")).distinct().toDF("id"))
 
     def sets_of(needed: DataFrame) -> DataFrame:
-        # Written: its size is known then, and texts need no shuffle while it is small.
+        # Written: a map of its keys goes to the texts, so that no others are shuffled.
         rows = written(firsts.join(needed, "id").select("id", F.col("first.key0").alias("key0"), F.col("first.key1").alias("key1")))
-        return written(_sets(keyed.select("key0", "key1", "text").join(rows, ["key0", "key1"]), size, "id").dropDuplicates(["id"]))
+        texts = marked(keyed.select("key0", "key1", "text"), "key0", rows.select("key0")).where("maybe").drop("maybe")
+        return written(_sets(texts.join(rows, ["key0", "key1"]), size, "id").dropDuplicates(["id"]))
 
     sets = sets_of(needed)
     links = written(_verified(tried, sets, least))
@@ -277,12 +280,13 @@ def linked(firsts: DataFrame, keyed: DataFrame, size: int, least: float, radius:
     named = written(named)
     mixed = named.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("h")
     open_ = written(named.join(mixed, "h").select("id", "root").distinct())
-    entries = firsts.join(open_, "id").select(*MEMBER, "root", F.posexplode("prefix").alias("place", "h"))
+    entries = written(firsts.select("id", "prefix").join(open_, "id").select("id", "root", F.posexplode("prefix").alias("place", "h")))
     counts = entries.groupBy("h").agg(F.count("*").alias("c"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
-    left = entries.join(written(counts.select("h", F.ceil(F.col("c") / shard_rows).cast("int").alias("parts"))), "h")
+    left = entries.join(written(counts.select("h", F.ceil(F.col("c") / shard_rows).cast("int").alias("parts"))), "h").join(firsts.select(*MEMBER), "id")
     left = left.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     left = left.select("h", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", *MEMBER, "root", "place")
     more = written(_pairs(left, radius, least).distinct().join(tried, ["a", "b"], "left_anti"))
+    drop(entries, shared, named)
     # A set that only the second round asks for wasn't read in the first.
     unread = more.select("a").union(more.select("b")).distinct().toDF("id").join(needed, "id", "left_anti")
     return components(links.union(_verified(more, sets.union(sets_of(written(unread))), least)))

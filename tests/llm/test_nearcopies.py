@@ -102,3 +102,37 @@ def test_parities_never_exceed_the_difference():
         b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 2**63, n // 3, dtype=np.uint64)]))
         x, y = (int.from_bytes(N.parities(s)) for s in (a, b))
         assert (x ^ y).bit_count() <= len(np.setxor1d(a, b))
+
+
+def test_rows_that_surely_stay_are_not_shuffled(spark):
+    """With tables too large to broadcast, texts leave their tasks only if they may be left out or are repeated."""
+    from tessera.llm.common import keep_rows, written
+
+    rng = random.Random(9)
+    rows = [(i, rng.randbytes(1500).hex()) for i in range(600)]
+    docs = written(spark.createDataFrame([*rows, rows[7], rows[8]], "doc_id long, text string").repartition(4))
+    keys = written(docs.where("doc_id % 20 <> 7").select(*N.row_keys(docs)).distinct())
+    context, before = spark.sparkContext._jsc.sc(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty()
+        found = context.statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    at = shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted(map(tuple, keep_rows(docs, keys).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [r for r in rows if r[0] % 20 != 7]
+    assert shuffled() - at < 0.2 * sum(len(t) for _, t in rows)
+
+
+def test_marks_miss_no_number(spark):
+    from tessera.llm.common import marked
+
+    hashes = lambda n: spark.range(n).select("id", N.F.xxhash64("id").alias("k"))
+    for n in (0, 1, 2000):
+        got = {r.id: r.maybe for r in marked(hashes(20_000), "k", N.written(hashes(n).select("k"))).collect()}
+        assert len(got) == 20_000 and all(got[i] for i in range(n)) and sum(got.values()) <= 1.1 * n + 600
